@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
         n = batch.num_rows
         if not n:
             continue
-        ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()
         first, before = 0, 0
         while first < n:
             last = int(ends.searchsorted(before + most, side="right"))
