@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .quality_rules import op8_quality_rules
 
 QUERIES = {
+    "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
