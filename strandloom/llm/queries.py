@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .packing import op2_packing
 from .quality_rules import op8_quality_rules
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
