@@ -5,8 +5,10 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .packing import op2_packing
 from .quality_rules import op8_quality_rules
+from .secrets import op3_secrets
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op2_packing": op2_packing,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
