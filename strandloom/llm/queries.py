@@ -6,8 +6,10 @@ from .bpe import op7_bpe
 from .packing import op2_packing
 from .quality_rules import op8_quality_rules
 from .secrets import op3_secrets
+from .warc import op5_warc
 
 QUERIES = {
+    "op5_warc": op5_warc,
     "op3_secrets": op3_secrets,
     "op2_packing": op2_packing,
     "op7_bpe": op7_bpe,
