@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .html_extract import op4_html
 from .packing import op2_packing
 from .quality_rules import op8_quality_rules
 from .secrets import op3_secrets
 from .warc import op5_warc
 
 QUERIES = {
+    "op4_html": op4_html,
     "op5_warc": op5_warc,
     "op3_secrets": op3_secrets,
     "op2_packing": op2_packing,
