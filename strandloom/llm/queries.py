@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .html_extract import op4_html
+from .near_dedup import op9_near_dedup
 from .packing import op2_packing
 from .quality_rules import op8_quality_rules
 from .secrets import op3_secrets
 from .warc import op5_warc
 
 QUERIES = {
+    "op9_near_dedup": op9_near_dedup,
     "op4_html": op4_html,
     "op5_warc": op5_warc,
     "op3_secrets": op3_secrets,
