@@ -228,27 +228,37 @@ class Completion:
         bins = sum(n for _, n in best)
         least = self.bound(self.counts)
         seen = 0
-        # (lengths left, patterns so far, bins so far, waste so far); depth first, the best filling last in
-        stack = [(dict(self.counts), [], 0, 0)]
-        while stack and bins > least and seen < self.nodes:
-            left, path, used, waste = stack.pop()
-            seen += 1
-            sizes = sorted(s for s, c in left.items() if c)
-            if not sizes:
-                if used < bins:
-                    best, bins = path, used
-                continue
-            if used + self.bound(left) >= bins or waste > (bins - 1) * self.capacity - self.total:
-                continue
-            top = sizes[-1]
-            left[top] -= 1
-            choices = self.fillings(sizes, left, self.capacity - top)
-            left[top] += 1
-            for f in reversed(choices):
-                rest = dict(left)
-                pattern = [top, *f]
-                times = self.apply(rest, pattern)
-                stack.append((rest, [*path, (tuple(pattern), times)], used + times, waste + times * (self.capacity - sum(pattern))))
+        # one table of lengths left, changed in place; a frame holds what is still to be tried at its depth
+        left, path = dict(self.counts), []
+        used = waste = 0
+        frames: list[list[list[int]]] = [[]]
+        enter = True
+        while frames and bins > least and seen < self.nodes:
+            if enter:
+                enter = False
+                seen += 1
+                sizes = sorted(s for s, c in left.items() if c)
+                if not sizes:
+                    best, bins = list(path), used
+                elif used + self.bound(left) < bins and waste <= (bins - 1) * self.capacity - self.total:
+                    top = sizes[-1]
+                    left[top] -= 1
+                    frames[-1] = [[top, *f] for f in reversed(self.fillings(sizes, left, self.capacity - top))]
+                    left[top] += 1
+            if frames[-1]:
+                pattern = frames[-1].pop()
+                times = self.apply(left, pattern)
+                path.append((tuple(pattern), times))
+                used, waste = used + times, waste + times * (self.capacity - sum(pattern))
+                frames.append([])
+                enter = True
+            else:
+                frames.pop()
+                if path:
+                    pattern, times = path.pop()
+                    used, waste = used - times, waste - times * (self.capacity - sum(pattern))
+                    for s in pattern:
+                        left[s] += times
         return best
 
 
