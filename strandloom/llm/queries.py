@@ -6,12 +6,14 @@ from .bpe import op7_bpe
 from .html_extract import op4_html
 from .near_dedup import op9_near_dedup
 from .packing import op2_packing
+from .quality_model import op6_quality
 from .quality_rules import op8_quality_rules
 from .secrets import op3_secrets
 from .substring_dedup import op10_substring_dedup
 from .warc import op5_warc
 
 QUERIES = {
+    "op6_quality": op6_quality,
     "op10_substring_dedup": op10_substring_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op4_html": op4_html,
