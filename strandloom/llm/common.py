@@ -69,12 +69,17 @@ def with_rest(df: DataFrame, *needed: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
-def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that an operator reads: id as bigint, text with null as empty."""
+def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The two columns that an operator reads: id as bigint, text with null as empty.
+
+    With ``carry`` all columns come along as one struct, so that no name can clash.
+    """
     with_rest(df, id_col, text_col)
+    rest = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
     return df.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        *rest,
     )
 
 

@@ -37,7 +37,7 @@ SYMBOLS = b"#*$%&|<>=~^{}[]\\@_"
 #: Numbers for hashed words; the bands of style measures have their own numbers above them.
 WORD_DIMENSIONS = 1 << 22
 BANDS = (b"symbols", b"capitals", b"repeats", b"distinct", b"lines")
-DIMENSIONS = WORD_DIMENSIONS + 10 * len(BANDS) + 16
+DIMENSIONS = WORD_DIMENSIONS + 10 * len(BANDS) + 16 + 3
 SAMPLE_ROWS = 16_000
 #: A document is rejected from these scores on. Toxicity shows in a few words, so one clear marker is enough.
 LIMITS = (0.0, -2.0)
@@ -104,10 +104,11 @@ def votes(s: Style) -> list[int]:
 
 
 def style_bands(s: Style) -> list[int]:
-    """One number for the band of each measure, and one for the text's size."""
+    """One number for the band of each measure, for the text's size and for its insults."""
     measures = (s.symbols, s.capitals, s.repeats, s.distinct, s.lines)
     numbers = [WORD_DIMENSIONS + 10 * k + min(9, int(10 * x)) for k, x in enumerate(measures)]
-    return [*numbers, WORD_DIMENSIONS + 10 * len(BANDS) + min(15, len(s.words).bit_length())]
+    above = WORD_DIMENSIONS + 10 * len(BANDS)
+    return [*numbers, above + min(15, len(s.words).bit_length()), above + 16 + min(2, len(s.insults))]
 
 
 def word_features(w: bytes) -> list[int]:
@@ -247,8 +248,8 @@ def train(texts: DataFrame, labels: DataFrame | None, sample_rows: int) -> tuple
     return models, scorers
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, low_quality and toxic (log-odds scores), kept, for every row."""
+def classify_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, carry: bool = False) -> DataFrame:
+    """doc_id, low_quality and toxic (log-odds scores), kept, for every row; with ``carry`` also its columns, in ``row``."""
     bound_arrow_batches(docs.sparkSession)
     texts = id_text(docs, id_col, text_col)
     _, scorers = train(texts, labels, sample_rows)
@@ -274,9 +275,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: s
                 for k in range(2):
                     scores[k].append(biases[k] + sum(tables[k].get(x, 0.0) for x in hits))
             low, toxic = map(np.array, scores)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(low), pa.array(toxic), pa.array((low < LIMITS[0]) & (toxic < LIMITS[1]))], names=["doc_id", "low_quality", "toxic", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(low), pa.array(toxic), pa.array((low < LIMITS[0]) & (toxic < LIMITS[1])), *part.columns[2:]], names=["doc_id", "low_quality", "toxic", "kept", *["row"] * carry])
 
-    return texts.mapInArrow(run, "doc_id long, low_quality double, toxic double, kept boolean")
+    rows = id_text(docs, id_col, text_col, carry)
+    more = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(run, "doc_id long, low_quality double, toxic double, kept boolean" + more)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

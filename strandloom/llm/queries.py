@@ -10,9 +10,11 @@ from .quality_model import op6_quality
 from .quality_rules import op8_quality_rules
 from .secrets import op3_secrets
 from .substring_dedup import op10_substring_dedup
+from .topk_search import op1_topk
 from .warc import op5_warc
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op6_quality": op6_quality,
     "op10_substring_dedup": op10_substring_dedup,
     "op9_near_dedup": op9_near_dedup,

@@ -134,18 +134,17 @@ def candidates(text: Column, base: Column) -> Column:
     return F.filter(typed, lambda c: c["encoding"].isNotNull())
 
 
-def scored(base: DataFrame) -> DataFrame:
-    """Adds to the base spans the candidates with their p-values, without the text."""
+def tokens_of() -> Column:
+    """The candidates of a row that has its text and base spans, with their p-values."""
     spans = F.concat(*[F.col(k) for k in PATTERNS])
     none = F.array().cast("array<struct<start:int,end:int,token:string,encoding:string,size:int>>")
-    # what can be a candidate has a digit in a run of token characters; other texts are not searched
-    hint = F.col("text").rlike("[A-Za-z0-9+/_-]{20}")
-    tokens = F.when(hint, candidates(F.col("text"), spans)).otherwise(none)
-    return base.select("doc_id", *PATTERNS, tokens.alias("tokens")).select(
-        "doc_id",
-        *PATTERNS,
-        F.transform("tokens", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), c["size"].alias("size"), battery(c["token"], c["encoding"]).alias("p"))).alias("tokens"),
-    )
+    tokens = F.when(F.col("text").rlike("[A-Za-z0-9+/_-]{20}"), candidates(F.col("text"), spans)).otherwise(none)
+    return F.transform(tokens, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["encoding"].alias("encoding"), c["size"].alias("size"), battery(c["token"], c["encoding"]).alias("p")))
+
+
+def scored(base: DataFrame) -> DataFrame:
+    """Base spans and candidates, without the text."""
+    return base.select("doc_id", *PATTERNS, tokens_of().alias("tokens"))
 
 
 def thresholds(tokens: DataFrame, fdr: float, storey: float, least: int, cells: int = 50) -> DataFrame:
@@ -163,21 +162,43 @@ def thresholds(tokens: DataFrame, fdr: float, storey: float, least: int, cells:
     return good.groupBy("encoding", "size").agg(F.min("low").alias("threshold"))
 
 
+def limit_map(tokens: DataFrame, fdr: float, storey: float, least: int) -> Column:
+    """The thresholds as a literal map; there are at most 4 encodings x 8 length classes."""
+    limits = thresholds(tokens, fdr, storey, least).collect()
+    known = [x for r in limits for x in (F.lit(f"{r['encoding']}/{r['size']}"), F.lit(float(r["threshold"])))]
+    return F.create_map(*known) if known else F.create_map().cast("map<string,double>")
+
+
+def picked(tokens: Column, limits: Column) -> Column:
+    """The spans of candidates at or above their class's threshold."""
+    class_of = lambda c: F.concat_ws("/", c["encoding"], c["size"].cast("string"))
+    good = F.filter(tokens, lambda c: c["p"] >= F.coalesce(F.try_element_at(limits, class_of(c)), F.lit(2.0)))
+    return F.transform(good, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
+
+
+def token_rows(done: DataFrame) -> DataFrame:
+    return done.select(F.explode("tokens").alias("c")).select("c.encoding", "c.size", "c.p")
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05, storey: float = 0.5, least: int = 2) -> DataFrame:
-    """doc_id, spans (array of (start, kind number, end), base and random), one row per document.
+    """doc_id and arrays of (start, end) for each base kind and for ``random``, one row per document.
 
     ``fdr`` bounds the false share of the spans that the tests add; a class with fewer than ``least`` estimated
     random strings adds none. The scored candidates are written once; they are far smaller than the texts.
     """
     done = materialise(scored(with_base(docs, id_col, text_col)), "secrets")
-    tokens = done.select(F.explode("tokens").alias("c")).select("c.encoding", "c.size", "c.p")
-    limits = thresholds(tokens, fdr, storey, least).collect()  # at most 4 encodings x 8 length classes
-    class_of = lambda e, n: F.concat_ws("/", e, n.cast("string"))
-    known = [x for r in limits for x in (F.lit(f"{r['encoding']}/{r['size']}"), F.lit(float(r["threshold"])))]
-    table = F.create_map(*known) if known else F.create_map().cast("map<string,double>")
-    picked = F.filter("tokens", lambda c: c["p"] >= F.coalesce(F.try_element_at(table, class_of(c["encoding"], c["size"])), F.lit(2.0)))
-    picked = F.transform(picked, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
-    return done.select("doc_id", *PATTERNS, picked.alias("random"))
+    return done.select("doc_id", *PATTERNS, picked(F.col("tokens"), limit_map(token_rows(done), fdr, storey, least)).alias("random"))
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.05, storey: float = 0.5, least: int = 2) -> DataFrame:
+    """The documents with all spans in their text replaced by a mark; no join, so rows that share an id stay apart."""
+    done = materialise(scored(with_base(docs, id_col, text_col)).select("tokens"), "secrets")
+    limits = limit_map(token_rows(done), fdr, storey, least)
+    rows = id_text(docs, id_col, text_col, carry=True).select("doc_id", "text", "row", *[spans_of(k).alias(k) for k in PATTERNS])
+    spans = rows.select("text", "row", *PATTERNS, picked(tokens_of(), limits).alias("random"))
+    clean = redacted(F.col("text"), all_spans(*KINDS))
+    given = F.col(f"row.`{text_col}`")
+    return spans.select(*[F.when(given.isNotNull(), clean).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:

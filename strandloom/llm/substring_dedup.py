@@ -365,13 +365,15 @@ RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, k
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, removed spans and the bytes that are left, for every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = GRAM, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, removed spans and the bytes that are left, for every row; with ``carry`` also what is left as text, in
+    ``left`` (a character that a cut divides goes), and the columns, in ``row``."""
     if not 8 <= gram < length or length - gram + length > 255:
         raise ValueError("need 8 <= gram < length and 2 * length - gram <= 255")
     spark = docs.sparkSession
     bound_arrow_batches(spark, 1000)
-    texts = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    all_rows = id_text(docs, id_col, text_col, carry).select("doc_id", F.xxhash64("text").alias("tag"), "text", *["row"] * carry)
+    texts = all_rows.select("doc_id", "tag", "text")
     long = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     digests = materialise(long.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
@@ -391,7 +393,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     covered = found.unionByName(compared).where("covered IS NOT NULL").groupBy("doc_id", "tag").agg(F.collect_list("covered").alias("covered"))
     covered = covered.select("doc_id", "tag", "covered", F.lit(False).alias("whole"))
     whole = copies.select("doc_id", "tag", F.array().cast("array<binary>").alias("covered"), F.lit(True).alias("whole"))
-    joined = texts.join(covered.unionByName(whole), ["doc_id", "tag"], "left").select("doc_id", "text", "covered", "whole")
+    joined = all_rows.join(covered.unionByName(whole), ["doc_id", "tag"], "left").select("doc_id", "text", "covered", "whole", *["row"] * carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -403,9 +405,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(text[at:a])
                     at = b
                 rows.append((d, len(text), [{"start": a, "end": b} for a, b in spans], b"".join([*kept, text[at:]])))
-            yield batch_of(rows, [pa.int64(), pa.int64(), _SPANS, pa.binary()], ["doc_id", "n_bytes", "spans", "kept"])
+            out = batch_of(rows, [pa.int64(), pa.int64(), _SPANS, pa.binary()], ["doc_id", "n_bytes", "spans", "kept"])
+            if carry:
+                left = pa.array([r[3].decode("utf-8", "ignore") for r in rows], pa.string())
+                out = pa.RecordBatch.from_arrays([*out.columns, left, part.column(4)], names=[*out.schema.names, "left", "row"])
+            yield out
 
-    return joined.mapInArrow(run, RESULT)
+    return joined.mapInArrow(run, RESULT + (f", left string, row {joined.schema['row'].dataType.simpleString()}" if carry else ""))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
