@@ -161,10 +161,42 @@ def by_document(doc: np.ndarray, tag: np.ndarray, *columns: np.ndarray) -> Itera
         yield int(doc[i]), int(tag[i]), [c[i:j] for c in columns]
 
 
+#: What shards tell, by bucket of documents: a row for a shard and a bucket, not for a shard and a document.
+TOLD = "bucket int, covered binary, asked binary"
+TOLD_TYPES = [pa.int32(), pa.binary(), pa.binary()]
 FOUND = "doc_id long, tag long, covered binary, asked binary"
 FOUND_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
 
+def pack_documents(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, *columns: np.ndarray) -> bytes:
+    """A blob of rows, each document named once."""
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start = doc[order], tag[order], start[order]
+    new = first_of_runs(doc, tag)
+    at = np.flatnonzero(new)
+    wide = len(start) and int(start.max()) >> 31
+    return pack(doc[at], tag[at], (np.cumsum(new) - 1).astype(np.uint32), start.astype(np.int64 if wide else np.uint32), *(c[order] for c in columns))
+
+
+def by_bucket(buckets: int, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    bucket = (scramble(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.append(np.flatnonzero(first_of_runs(bucket[order])), len(order)).tolist()
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        k = order[i:j]
+        yield int(bucket[k[0]]), pack_documents(doc[k], *(c[k] for c in columns))
+
+
+def regroup(table: pa.Table) -> pa.Table:
+    """One row per document of a bucket: its covered stretches and those to compare as bytes, of all shards."""
+    rows: list[tuple] = []
+    if covered := read_blobs(table.column("covered")):
+        rows += [(d, t, pack(s, c), None) for d, t, (s, c) in by_document(*covered)]
+    if asked := read_blobs(table.column("asked")):
+        rows += [(d, t, None, pack(s, c, low)) for d, t, (s, c, low) in by_document(*asked)]
+    return pa.Table.from_batches([batch_of(rows, FOUND_TYPES, ["doc_id", "tag", "covered", "asked"])])
+
+
 def batch_of(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
 
@@ -191,13 +223,8 @@ def send_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> Data
                 cuts = np.append(np.flatnonzero(first_of_runs(shard[at])), len(at)).tolist()
                 for i, j in zip(cuts, cuts[1:], strict=False):
                     k = at[i:j]
-                    k = k[np.lexsort((start[k], tag[k], doc[k]))]
-                    columns = [doc[k], tag[k], start[k], count[k].astype(np.uint8)]
-                    if which == 0:
-                        columns += [low[k], (whole[k] & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
-                    ids = first_of_runs(columns[0], columns[1])
-                    at_id = np.flatnonzero(ids)
-                    blob = pack(columns[0][at_id], columns[1][at_id], (np.cumsum(ids) - 1).astype(np.uint32), columns[2].astype(np.int64 if columns[2].max() >> 31 else np.uint32), *columns[3:])
+                    more = [low[k], (whole[k] & np.uint64(0xFFFFFFFF)).astype(np.uint32)] if which == 0 else []
+                    blob = pack_documents(doc[k], tag[k], start[k], count[k].astype(np.uint8), *more)
                     rows.append((int(shard[k[0]]), blob if which == 0 else None, blob if which else None))
             return batch_of(rows, [pa.int32(), pa.binary(), pa.binary()], ["shard", "entries", "known"])
 
@@ -227,24 +254,27 @@ def read_blobs(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else []
 
 
-def settle_shard(table: pa.Table) -> pa.Table:
-    """What the stretches of one shard tell about each document: covered stretches, and those to compare as bytes."""
-    rows: list[tuple] = []
-    if known := read_blobs(table.column("known")):
-        rows += [(d, t, pack(s, c), None) for d, t, (s, c) in by_document(*known)]
-    if entries := read_blobs(table.column("entries")):
-        doc, _, _, _, low, whole = entries
-        order = np.lexsort((doc, whole, low))
-        doc, tag, start, count, low, whole = (x[order] for x in entries)
-        new_low = first_of_runs(low)
-        new = new_low | first_of_runs(whole)
-        run = np.cumsum(new) - 1
-        covered = doc > doc[np.flatnonzero(new)][run]
-        rows += [(d, t, pack(s, c), None) for d, t, (s, c) in by_document(doc[covered], tag[covered], start[covered], count[covered])]
-        kinds = np.bincount((np.cumsum(new_low) - 1)[new])
-        ask = new & (kinds[np.cumsum(new_low) - 1] > 1)
-        rows += [(d, t, None, pack(s, c, l)) for d, t, (s, c, l) in by_document(doc[ask], tag[ask], start[ask], count[ask], low[ask])]
-    return pa.Table.from_batches([batch_of(rows, FOUND_TYPES, ["doc_id", "tag", "covered", "asked"])])
+def settle_shard(buckets: int):
+    """What the stretches of one shard tell: which are covered, and which are to be compared as bytes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if known := read_blobs(table.column("known")):
+            rows += [(b, blob, None) for b, blob in by_bucket(buckets, *known)]
+        if entries := read_blobs(table.column("entries")):
+            doc, _, _, _, low, whole = entries
+            order = np.lexsort((doc, whole, low))
+            doc, tag, start, count, low, whole = (x[order] for x in entries)
+            new_low = first_of_runs(low)
+            new = new_low | first_of_runs(whole)
+            covered = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            rows += [(b, blob, None) for b, blob in by_bucket(buckets, doc[covered], tag[covered], start[covered], count[covered])]
+            kinds = np.bincount((np.cumsum(new_low) - 1)[new])
+            ask = new & (kinds[np.cumsum(new_low) - 1] > 1)
+            rows += [(b, None, blob) for b, blob in by_bucket(buckets, doc[ask], tag[ask], start[ask], count[ask], low[ask])]
+        return pa.Table.from_batches([batch_of(rows, TOLD_TYPES, ["bucket", "covered", "asked"])])
+
+    return run
 
 
 class SuffixLevels:
@@ -287,7 +317,7 @@ class SuffixLevels:
 
 def fetch_bytes(found: DataFrame, docs: DataFrame, shards: int, length: int) -> DataFrame:
     """shard, blob of the stretches that are to be compared as bytes."""
-    wanted = found.where("asked IS NOT NULL").groupBy("doc_id", "tag").agg(F.collect_list("asked").alias("asked"))
+    wanted = found.where("asked IS NOT NULL").select("doc_id", "tag", F.array("asked").alias("asked"))
     joined = docs.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +345,7 @@ def fetch_bytes(found: DataFrame, docs: DataFrame, shards: int, length: int) ->
     return joined.mapInArrow(run, "shard int, blob binary")
 
 
-def compare_shard(length: int):
+def compare_shard(length: int, buckets: int):
     """Passes one shard's stretches through a suffix-array family, in order of documents."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -324,7 +354,7 @@ def compare_shard(length: int):
         sizes = count + length - 1
         begin = np.cumsum(sizes) - sizes
         order = np.lexsort((low, doc))
-        family, rows, at = SuffixLevels(length), [], 0
+        family, hits, at = SuffixLevels(length), [], 0
         total = np.cumsum(count[order])
         windows = np.lib.stride_tricks.sliding_window_view(text, length)
         while at < len(order):
@@ -341,9 +371,10 @@ def compare_shard(length: int):
                 new = np.append(True, (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1))
                 f = np.flatnonzero(new)
                 runs = np.diff(np.append(f, len(hit)))
-                rows += [(d, t, pack(a, c), None) for d, t, (a, c) in by_document(doc[k][w[f]], tag[k][w[f]], start[k][w[f]] + s[f], runs)]
+                hits.append([doc[k][w[f]], tag[k][w[f]], start[k][w[f]] + s[f], runs.astype(np.uint8)])
             at = end
-        return pa.Table.from_batches([batch_of(rows, FOUND_TYPES, ["doc_id", "tag", "covered", "asked"])])
+        rows = [(b, blob, None) for b, blob in by_bucket(buckets, *(np.concatenate(x) for x in zip(*hits, strict=True)))] if hits else []
+        return pa.Table.from_batches([batch_of(rows, TOLD_TYPES, ["bucket", "covered", "asked"])])
 
     return run
 
@@ -382,12 +413,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release_shuffles(spark)
 
     rest = long.join(copies, ["doc_id", "tag"], "left_anti").select("doc_id", "tag", "text")
-    sent = send_stretches(rest, max(1, -(-total // SHARD_BYTES)), length, gram)
-    found = materialise(sent.groupBy("shard").applyInArrow(settle_shard, FOUND), "stretches")
+    buckets = max(1, -(-total // SHARD_BYTES))  # as many of documents as of stretches
+    told = send_stretches(rest, buckets, length, gram).groupBy("shard").applyInArrow(settle_shard(buckets), TOLD)
+    found = materialise(told.groupBy("bucket").applyInArrow(regroup, FOUND), "stretches")
     release_shuffles(spark)
     asked = found.where("asked IS NOT NULL").agg(F.sum(F.octet_length("asked"))).first()[0] or 0
     shards = max(1, -(-asked // 10 * (length - gram) // 2 // SHARD_WINDOWS))
-    compared = materialise(fetch_bytes(found, long, shards, length).groupBy("shard").applyInArrow(compare_shard(length), FOUND), "compared")
+    told = fetch_bytes(found, long, shards, length).groupBy("shard").applyInArrow(compare_shard(length, buckets), TOLD)
+    compared = materialise(told.groupBy("bucket").applyInArrow(regroup, FOUND), "compared")
     release_shuffles(spark)
 
     covered = found.unionByName(compared).where("covered IS NOT NULL").groupBy("doc_id", "tag").agg(F.collect_list("covered").alias("covered"))
