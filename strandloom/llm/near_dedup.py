@@ -8,11 +8,12 @@ estimate of the Jaccard similarity. Four values make a band: two functions' leas
 2. Representatives that share a band are compared with the band's smallest one: a star, not all pairs. Candidates
    pass a test of sizes and of two signature bits per value, chosen so that a pair at the threshold fails once in
    some hundred million; what is left is confirmed on the full sets.
-3. Components of these links are found. In bands that still hold several components, members of different
-   components are compared too, by the same tests; members of one component need no further link.
-4. Both kinds of links give the final components; each document gets its class's.
+3. Components of these links are found. In bands that still hold several components further stars follow, each
+   round with other centres; members of one component need no further link.
+4. What then still shares a band across components is compared in full, by the same tests. All links together
+   give the components; each document gets its class's.
 
-With 64 functions and 32 bands of 4 values a pair at similarity 0.8 shares no band with a probability below 1e-6.
+With 135 functions and 45 bands of 6 values a pair at similarity 0.8 shares no band with a probability near 1e-6.
 
 Cost: where a band keeps m members in many components, about m squared bit tests are made for it (not rows: they
 are the join's condition). Copies and near copies do not do that, since stars join them first.
@@ -36,10 +37,14 @@ from pyspark.sql import functions as F
 from .common import bound_arrow_batches, id_text, materialise, read_table, release_shuffles, slices
 from .components import connected_components
 
-PERMUTATIONS = 64
-BAND = 4  # values: two functions' least and greatest
+PERMUTATIONS = 135
+BAND = 6  # values: three functions' least and greatest
+#: The bit test looks at so many values of the signature.
+VALUES = 128
+#: Rounds of stars with other centres, before what is left is compared in full.
+ROUNDS = 5
 PROFILE = "doc_id long, n_shingles long, f0 long, f1 long, p0 long, p1 long, p2 long, p3 long, bands array<long>"
-#: A bit test passes pairs with so many of the 2 x PERMUTATIONS values alike; at similarity 0.8 the mean is
+#: A bit test passes pairs with so many of the VALUES values alike; at similarity 0.8 the mean is
 #: 0.85 of them with a deviation of 0.0316, so 0.664 is 5.9 deviations below.
 BITS_ALIKE = 0.664
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -97,8 +102,8 @@ def min_max(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 def profiles(docs: DataFrame, words: int, permutations: int) -> DataFrame:
     """Size, set fingerprint, signature bits and band keys of each document; ``docs`` as id_text gives it."""
-    if 2 * permutations != 128:
-        raise ValueError("two planes of 128 bits need 64 functions")
+    if 2 * permutations < VALUES or 2 * permutations % BAND:
+        raise ValueError(f"need at least {VALUES // 2} functions, and {BAND} to divide twice their number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -112,7 +117,7 @@ def profiles(docs: DataFrame, words: int, permutations: int) -> DataFrame:
                 prints[0, some] = mixed(np.add.reduceat(mixed(values), starts))
                 prints[1, some] = mixed(np.add.reduceat(mixed(values ^ _M2), starts) + n[some].astype(np.uint64))
                 s = min_max(values, starts, permutations)
-                low = mixed(s)
+                low = mixed(s[:VALUES])
                 for j in range(2):
                     bits = (low >> np.uint64(j)) & np.uint64(1)
                     for half in range(2):
@@ -149,7 +154,7 @@ def plausible(threshold: int) -> Column:
         F.col("x.p1").bitwiseXOR(F.col("y.p1")).bitwiseOR(F.col("x.p3").bitwiseXOR(F.col("y.p3")))
     )
     sizes = 100 * F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    return sizes & (differ <= int(2 * PERMUTATIONS * (1 - BITS_ALIKE)))
+    return sizes & (differ <= int(VALUES * (1 - BITS_ALIKE)))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -173,11 +178,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def sets_for(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(full_sets(docs.join(ids, "doc_id", "left_semi"), words).dropDuplicates(), "sets")
-    release_shuffles(docs.sparkSession)
-    return sets
+def plausible_pairs(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Different pairs (a, b) that pass the tests of sizes and bits."""
+    pairs = pairs.distinct()
+    x, y = members.select(F.col("m.id").alias("a"), F.col("m").alias("x")), members.select(F.col("m.id").alias("b"), F.col("m").alias("y"))
+    return pairs.join(y, "b").join(x, "a").where(plausible(threshold)).select("a", "b").distinct()
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links between labels."""
+    merged = connected_components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialise(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def label_links(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between nodes as links between their labels."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    return links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80, permutations: int = PERMUTATIONS) -> DataFrame:
@@ -190,33 +207,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(known.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("doc_id"), "f0", "f1"), ["doc_id", "f0", "f1"]).dropDuplicates(["doc_id", "f0", "f1"])
     member = F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "p0", "p1", "p2", "p3")
-    banded = reps.select(F.explode("bands").alias("band"), member.alias("y"))
-    stars = banded.groupBy("band").agg(F.min("y").alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = reps.select(member.alias("m"))
+    banded = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"))
+    stars = banded.groupBy("band").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared = materialise(banded.join(stars, "band"), "bands")
     release_shuffles(spark)
 
-    near = shared.where((F.col("x.id") != F.col("y.id")) & plausible(threshold))
-    first = materialise(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "candidates")
-    sets = sets_for(texts, first, words)
-    links = materialise(confirmed(first, sets, threshold), "links")
+    star = shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    tried = materialise(plausible_pairs(star, members, threshold), "candidates")
+    ids = shared.select(F.col("id").alias("doc_id")).distinct()
+    sets = materialise(full_sets(texts.join(ids, "doc_id", "left_semi"), words).dropDuplicates(), "sets")
+    release_shuffles(spark)
+    links = materialise(confirmed(tried, sets, threshold), "links")
     release_shuffles(spark)
+    # every member of a shared band has a label, itself where nothing is linked to it
     labels = connected_components(links)
+    labels = materialise(ids.withColumnRenamed("doc_id", "node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
 
-    # bands in which different components meet
-    named = shared.select("band", "y", F.col("y.id").alias("node")).join(labels, "node", "left").select("band", "y", F.coalesce("label", "node").alias("label"))
-    mixed_bands = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    open_ = materialise(named.join(mixed_bands, "band", "left_semi"), "open-bands")
-    x, y = open_.select("band", F.col("y").alias("x"), F.col("label").alias("lx")), open_.select("band", "y", F.col("label").alias("ly"))
-    across = x.join(y, "band").where((F.col("lx") < F.col("ly")) & plausible(threshold))
-    ordered = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    second = materialise(ordered.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "candidates")
+    def meeting(bands: DataFrame) -> DataFrame:
+        """Rows of the bands in which different components meet."""
+        named = bands.select("band", F.col("id").alias("node")).join(labels, "node").select("band", F.col("node").alias("id"), "label")
+        mixed_bands = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+        return materialise(named.join(mixed_bands, "band", "left_semi"), "open-bands")
+
+    open_ = meeting(shared)
+    sets = materialise(sets.join(open_.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "sets")
+    members = materialise(members.withColumn("id", F.col("m.id")).join(open_.select("id").distinct(), "id", "left_semi").select("m"), "members")
     release_shuffles(spark)
-    if second.limit(1).count():
-        more = materialise(confirmed(second, sets_for(texts, second, words), threshold), "links")
-        if more.limit(1).count():
-            labels = connected_components(links.unionByName(more))
+    fresh = lambda pairs: pairs.join(tried, ["a", "b"], "left_anti")
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for k in range(ROUNDS):
+        best = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "label")).alias("c"))
+        star = open_.join(best, "band").where(F.col("label") != F.col("c.label")).select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
+        pairs = materialise(plausible_pairs(fresh(star.distinct()), members, threshold), "candidates")
+        found = materialise(confirmed(pairs, sets, threshold), "links")
+        tried = tried.unionByName(pairs)
+        if not found.limit(1).count():
+            break
+        labels = relabelled(labels, label_links(found, labels))
+        open_ = meeting(open_)
         release_shuffles(spark)
 
+    known_as = open_.join(members.select(F.col("m.id").alias("id"), "m"), "id")
+    x, y = known_as.select("band", F.col("m").alias("x"), F.col("label").alias("lx")), known_as.select("band", F.col("m").alias("y"), F.col("label").alias("ly"))
+    across = x.join(y, "band").where((F.col("lx") < F.col("ly")) & plausible(threshold))
+    last = materialise(fresh(across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()), "candidates")
+    found = materialise(confirmed(last, sets, threshold), "links")
+    if found.limit(1).count():
+        labels = relabelled(labels, label_links(found, labels))
+    release_shuffles(spark)
+
     component = classes.join(labels, classes["rep"] == labels["node"], "left").select("f0", "f1", F.coalesce("label", "rep").alias("component"))
     rows = profile.select("doc_id", "n_shingles", "f0", "f1").join(component, ["f0", "f1"], "left")
     of = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
