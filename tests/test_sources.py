@@ -71,3 +71,14 @@ def test_stream_division(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.read_id: r["class"] for r in spark.table("divided").collect()} == {0: "N", 1: "LQ", 2: "HQ"}
+
+
+def test_command_line_parameters():
+    from strandloom.cli import params_of, parser
+
+    p = params_of(parser().parse_args(["arch", "-q", "100", "-s", "30", "-o", "-i", "a.fq", "b.fq"]))
+    assert (p.err, p.seed, p.mode, p.rc_mate2) == (0.1, 30, "pe_ord", True)
+    with pytest.raises(SystemExit):
+        params_of(parser().parse_args(["arch", "-S", "-o", "-i", "a.fq"]))
+    with pytest.raises(ValueError, match="seed"):
+        params_of(parser().parse_args(["arch", "-s", "10", "-i", "a.fq"]))
