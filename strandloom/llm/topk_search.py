@@ -1,16 +1,17 @@
 """Exact top-k BM25 search over a sharded inverted index with block-max pruning.
 
 Documents are indexed shard by shard, a shard being what a task gathers up to ``shard_bytes`` of text: terms with
-their postings in order of documents, in blocks of ``BLOCK`` postings that carry their greatest impact. Lengths
+their postings in order of documents; frequent terms also carry the greatest impact in each block of ``BLOCK``
+documents. Lengths
 and document frequencies are summed over all shards, so that every shard scores with the same statistics and the
 merged lists are the exact answer.
 
-A query runs in a shard as block-max WAND in batches. The rarest terms are scored first; the k-th best partial
-score is the threshold. Terms whose greatest impacts together stay below it cannot lift a document that holds
-none of the others, so only documents in the other lists are candidates. The remaining lists are then visited in
-falling order of their bounds: a candidate whose score so far, its current block's greatest impact and the bounds
-of the lists after it stay below the threshold is dropped, the rest get the list's exact impact. Nothing that
-could reach the first k is dropped, ties included.
+A query runs in a shard as block-max WAND in batches. The lists of rare terms are scored whole, which is cheap; the
+k-th best score is the threshold. Lists of frequent terms follow in falling order of their bounds until the bounds
+of the rest stay below the threshold together: no document that has only those can be found any more. For the
+others each block of documents has the greatest impact of each list left; a document whose score and its block's
+bound stay below the threshold is skipped, the rest are scored in full. Nothing that could reach the first k is
+skipped, ties included.
 
 Queries are a table of their own in the shared folder; each shard's task streams it in blocks, so neither all
 queries nor all documents are ever held in one place.
@@ -38,7 +39,9 @@ from .warc import open_fs
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_BYTES = 24 << 20
+#: A term is frequent if more than one in so many documents of a shard has it; so many terms at most are.
+DENSE_PART, DENSE_ROWS = 16, 256
+SHARD_BYTES = 32 << 20
 QUERY_ROWS = 64
 #: Scores are compared with this slack and reported to six decimals, so that the order of sums does not matter.
 SLACK = 1e-6
@@ -123,53 +126,56 @@ class Shard:
         self.impact = count * (K1 + 1) / (count + norm[self.docs])
         self.ends = np.append(self.at[1:], len(self.docs))
         # blocks never span two terms: their starts are the terms' starts and every BLOCK postings after
-        n_blocks = -(-(self.ends - self.at) // BLOCK)
-        self.block_at = np.cumsum(n_blocks) - n_blocks
-        term_of = np.repeat(np.arange(len(self.terms)), n_blocks)
-        self.block_start = self.at[term_of] + (np.arange(len(term_of)) - self.block_at[term_of]) * BLOCK
-        self.block_max = np.maximum.reduceat(self.impact, self.block_start) if len(self.block_start) else np.zeros(0)
-        self.block_doc = self.docs[self.block_start] if len(self.block_start) else np.zeros(0, np.int64)
         self.term_max = np.maximum.reduceat(self.impact, self.at) if len(self.at) else np.zeros(0)
+        # lists of frequent terms also lie as rows over all documents, in blocks of BLOCK documents
+        n = len(self.ids)
+        frequent = np.flatnonzero(self.ends - self.at > max(16, n // DENSE_PART))
+        frequent = frequent[np.argsort(self.at[frequent] - self.ends[frequent], kind="stable")][:DENSE_ROWS]
+        self.row_of = np.full(len(self.terms), -1)
+        self.row_of[frequent] = np.arange(len(frequent))
+        blocks = max(1, -(-n // BLOCK))
+        self.rows = np.zeros((len(frequent), blocks * BLOCK), np.float64)
+        for r, t in enumerate(frequent.tolist()):
+            self.rows[r, self.docs[self.at[t] : self.ends[t]]] = self.impact[self.at[t] : self.ends[t]]
+        self.block_max = self.rows.reshape(len(frequent), blocks, BLOCK).max(2) if len(frequent) else np.zeros((0, blocks))
+
+    def add_lists(self, score: np.ndarray, t: np.ndarray, w: np.ndarray) -> None:
+        """Add whole lists to the scores."""
+        sizes = self.ends[t] - self.at[t]
+        take = np.repeat(self.at[t] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        score += np.bincount(self.docs[take], np.repeat(w, sizes) * self.impact[take], len(score))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of at most k documents that are best in this shard; terms ascend."""
+        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return none
         where = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         hit = (self.terms[where] == terms) & (weights > 0)
         t, w = where[hit], weights[hit]
         if not len(t):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w * self.term_max[t]
-        order = np.argsort(-bound, kind="stable")
-        t, w, bound = t[order], w[order], bound[order]
-        after = np.append(np.cumsum(bound[::-1])[::-1], 0.0)  # bound of the lists from here on
-        score, threshold, n = np.zeros(len(self.ids)), 0.0, 0
-        sizes = self.ends[t] - self.at[t]
-        while n < len(t) and not (threshold > 0 and after[n] < threshold - SLACK):
-            # score lists whole until the rest cannot lift a new document; some at a time
-            stop = min(len(t), n + max(4, int(np.searchsorted(np.cumsum(sizes[n:]), len(self.ids)))))
-            take = np.repeat(self.at[t[n:stop]] - (np.cumsum(sizes[n:stop]) - sizes[n:stop]), sizes[n:stop]) + np.arange(int(sizes[n:stop].sum()))
-            score += np.bincount(self.docs[take], np.repeat(w[n:stop], sizes[n:stop]) * self.impact[take], len(self.ids))
-            n = stop
-            if len(score) > k:
-                threshold = float(np.partition(score, len(score) - k)[len(score) - k])
-        alive = np.flatnonzero(score > 0)
-        alive = alive[score[alive] + after[n] >= threshold - SLACK]
-        for i in range(n, len(t)):
-            lo, hi = self.at[t[i]], self.ends[t[i]]
-            first = self.block_at[t[i]]
-            last = self.block_at[t[i] + 1] if t[i] + 1 < len(self.block_at) else len(self.block_doc)
-            block = first + np.searchsorted(self.block_doc[first:last], alive, side="right") - 1
-            reach = np.where(block >= first, w[i] * self.block_max[np.maximum(block, first)], 0.0)
-            keep = score[alive] + reach + after[i + 1] >= threshold - SLACK
-            alive = alive[keep]
-            at = lo + np.searchsorted(self.docs[lo:hi], alive)
-            at = np.minimum(at, hi - 1)
-            here = self.docs[at] == alive
-            score[alive[here]] += w[i] * self.impact[at[here]]
-            if i % 8 == 7 and len(alive) > k:
-                threshold = max(threshold, float(np.partition(score[alive], len(alive) - k)[len(alive) - k]))
+            return none
+        n, row = len(self.ids), self.row_of[t]
+        score = np.zeros(n)
+        if (row < 0).any():
+            self.add_lists(score, t[row < 0], w[row < 0])
+        t, w, row = t[row >= 0], w[row >= 0], row[row >= 0]
+        order = np.argsort(-w * self.term_max[t], kind="stable")
+        t, w, row = t[order], w[order], row[order]
+        after = np.append(np.cumsum((w * self.term_max[t])[::-1])[::-1], 0.0)  # bound of the lists from here on
+        kth = lambda: float(np.partition(score, n - k)[n - k]) if n > k else 0.0
+        at, threshold = 0, kth()
+        while at < len(t) and after[at] >= threshold - SLACK:
+            # the lists from here on could still lift a document that has none of those before: score some whole
+            stop = max(at + 1, int(np.searchsorted(-after, -max(threshold, after[at] / 2), side="left")))
+            self.add_lists(score, t[at:stop], w[at:stop])
+            at, threshold = stop, kth()
+        alive = np.flatnonzero((score > 0) & (score + after[at] >= threshold - SLACK))
+        if at < len(t) and len(alive):
+            # what is left of the lists, bounded block by block; then exactly for the documents that stay
+            reach = w[at:] @ self.block_max[row[at:]]
+            alive = alive[score[alive] + reach[alive // BLOCK] >= threshold - SLACK]
+            score[alive] += w[at:] @ self.rows[np.ix_(row[at:], alive)]
         exact = np.round(score[alive], 6)
         best = np.lexsort((self.ids[alive], -exact))[:k]
         return self.ids[alive][best], exact[best]
