@@ -9,8 +9,8 @@ k-grams: equal windows have equal minimizers, and the run of windows with one mi
 Three steps keep the volume small:
 
 1. Copies of whole documents are found by digest; the later ones are covered entirely.
-2. Of the other documents only two hashes per stretch are shuffled: its minimizer's and its own. A stretch that an
-   earlier document has too is covered. Tasks combine equal stretches first, so that a passage that very many
+2. Of the other documents only two hashes of 64 bits per stretch are shuffled: its minimizer's and its own. A
+   stretch that an earlier document has too is covered; both hashes decide, whole. Tasks combine equal stretches first, so that a passage that very many
    documents hold is sent once per task. Stretches with a minimizer of their own are done: no earlier window
    can equal theirs.
 3. Stretches that share a minimizer but not the whole stretch are compared as bytes: each different one is sent
@@ -223,7 +223,7 @@ def send_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> Data
                 cuts = np.append(np.flatnonzero(first_of_runs(shard[at])), len(at)).tolist()
                 for i, j in zip(cuts, cuts[1:], strict=False):
                     k = at[i:j]
-                    more = [low[k], (whole[k] & np.uint64(0xFFFFFFFF)).astype(np.uint32)] if which == 0 else []
+                    more = [low[k], whole[k]] if which == 0 else []
                     blob = pack_documents(doc[k], tag[k], start[k], count[k].astype(np.uint8), *more)
                     rows.append((int(shard[k[0]]), blob if which == 0 else None, blob if which else None))
             return batch_of(rows, [pa.int32(), pa.binary(), pa.binary()], ["shard", "entries", "known"])

@@ -84,6 +84,16 @@ def test_repeats(spark, length):
     assert remove_repeats(documents(spark, []).limit(0)).count() == 0
 
 
+def test_stretches_that_share_half_a_hash_are_kept(spark):
+    a, b = "bkzmrxxjgvroqqignmwosmpqepozttmycetzzmhbphmliwfikp", "sddmggbtouixjdoqtmwosmpqepozttmychafzxkkcsmcrztufc"
+    _, _, _, low, whole = stretches([a.encode(), b.encode()], 50, 16)
+    half = np.uint64(0xFFFFFFFF)
+    assert low[0] == low[1] and whole[0] & half == whole[1] & half and whole[0] != whole[1]
+    rows = [(1, a), (2, b), (3, "x" + a + "y")]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in remove_repeats(documents(spark, rows)).collect()}
+    assert got == {1: [], 2: [], 3: [(1, 51)]}
+
+
 def test_stretches_cover_each_window_once():
     r = random.Random(8)
     texts = [bytes(r.choice(b"ab ") for _ in range(n)) for n in (0, 49, 50, 51, 400)]
