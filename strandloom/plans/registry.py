@@ -25,8 +25,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 LENGTH, KMER, MOST, SEED = X.LENGTH, "ACGTACG", 33, 38
-#: Overlaps below this are not looked for in the registered assembly queries; the operators take any bound.
-ASSEMBLY_OVERLAP = 94
 
 RC = "translate(reverse(seq), 'ACGTN', 'TGCAN')"
 LQN = f""", lqn AS (SELECT read_id, seq FROM classified WHERE class <> 'HQ'),
@@ -463,7 +461,7 @@ def read_order(spark, sf):
 
 def _assembled(spark, sf) -> tuple[DataFrame, DataFrame]:
     r = checkpointed(hq(spark, sf).select("read_id", "seq"), "hq")
-    return r, checkpointed(L.cut_cycles(O.greedy_links(r, LENGTH, ASSEMBLY_OVERLAP)), "links")
+    return r, checkpointed(L.cut_cycles(O.greedy_links(r, LENGTH, 1)), "links")
 
 
 @query(None)
@@ -492,7 +490,7 @@ def _round_trip(mode: str) -> None:
     @query(f" SELECT CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS duplicated, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS surplus, CAST(0 AS BIGINT) AS wrong_pair, count(*) AS reads FROM reads", f"roundtrip_{mode}")
     def run(spark, sf):
         reads = checkpointed(X.reads(spark, sf), "reads")
-        params = EngineParams(mode=mode, rc_mate2=mode.startswith("pe"), min_overlap=ASSEMBLY_OVERLAP)
+        params = EngineParams(mode=mode, rc_mate2=mode.startswith("pe"), min_overlap=1)
         reads_list, pg_seq, manifest = A.build(reads, params)
         decoded = A.restore_rows(checkpointed(reads_list, "list"), checkpointed(pg_seq, "pg"), manifest["length"], params.rc_mate2)
         return A.verify(decoded, reads, mode)

@@ -9,6 +9,7 @@ from strandloom.operators import layout as L
 from strandloom.operators import overlap as O
 from strandloom.params import EngineParams
 from strandloom.plans import archive as A
+from strandloom.plans import registry
 
 READS = "read_id long, pair_id long, mate int, seq string, qual string"
 
@@ -59,6 +60,14 @@ def test_links_join_equal_ends(spark):
     assert len({x.read_id for x in found}) == len(found) == len({x.next_id for x in found})
 
 
+def test_registered_assembly_takes_short_overlaps(spark, monkeypatch):
+    rng = random.Random(11)
+    genome = "".join(rng.choice("ACGT") for _ in range(260))
+    reads = table(spark, [genome[:100], genome[60:160], genome[159:259]])
+    monkeypatch.setattr(registry, "hq", lambda spark, sf: reads)
+    assert sorted(map(tuple, registry.QUERIES["assemble_links"](spark, "").select("read_id", "next_id", "overlap").collect())) == [(0, 1, 40), (1, 2, 1)]
+
+
 @pytest.mark.parametrize("mode,rc", [("se", False), ("pe", True)])
 def test_archive_round_trip(spark, tmp_path, mode, rc):
     rng = random.Random(7)
