@@ -50,12 +50,12 @@ def build(reads: DataFrame, params: EngineParams) -> tuple[DataFrame, DataFrame,
     if first is None:
         raise ValueError("there are no reads")
     length = first["n"]
-    least = params.min_overlap or max(1, int(length * params.ov))
+    least = params.min_overlap or 1
     ready = reads.withColumn("seq", F.when(F.col("mate") == 1, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))) if params.rc_mate2 else reads
     rows = checkpointed(classify(ready, params.err, params.suffix_mode, params.separate_n).select("read_id", "pair_id", "mate", "seq", "class"), "classified")
     hq = rows.where("class = 'HQ'").select("read_id", "seq")
     if params.ov > 0:
-        links = checkpointed(duplicate_chain(hq, length).unionByName(greedy_links(hq, length, max(least, length - 8))).distinct(), "division-links")
+        links = checkpointed(duplicate_chain(hq, length).unionByName(greedy_links(hq, length, max(1, length - int(length * params.ov) + 1))).distinct(), "division-links")
         good = both_sides_overlapped(hq, links, length)
         rows = checkpointed(demote(rows, good), "classified")
         hq = rows.where("class = 'HQ'").select("read_id", "seq")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.operators import classify as C
 from strandloom.operators import layout as L
 from strandloom.operators import overlap as O
 from strandloom.params import EngineParams
@@ -68,6 +69,18 @@ def test_registered_assembly_takes_short_overlaps(spark, monkeypatch):
     assert sorted(map(tuple, registry.QUERIES["assemble_links"](spark, "").select("read_id", "next_id", "overlap").collect())) == [(0, 1, 40), (1, 2, 1)]
 
 
+def test_division_takes_all_overlaps_of_its_coefficient(spark, monkeypatch):
+    rng = random.Random(12)
+    genome = "".join(rng.choice("ACGT") for _ in range(64))
+    seqs = [genome[at : at + 24] for at in (0, 14, 28, 40)]  # overlaps of 10, 10 and 12 bases; 24 - int(24 * 0.65) + 1 is 10
+    asked, found, greedy = [], [], A.greedy_links
+    monkeypatch.setattr(A, "both_sides_overlapped", lambda hq, links, n: found.append(C.both_sides_overlapped(hq, links, n)) or found[0])
+    monkeypatch.setattr(A, "greedy_links", lambda reads, n, least: asked.append(least) or greedy(reads, n, least if len(asked) == 1 else n - 1))
+    A.build(table(spark, seqs), EngineParams(rc_mate2=False, seed=24))
+    assert sorted(r.read_id for r in found[0].collect()) == [1, 2]
+    assert asked == [10, 1, 1, 1]
+
+
 @pytest.mark.parametrize("mode,rc", [("se", False), ("pe", True)])
 def test_archive_round_trip(spark, tmp_path, mode, rc):
     rng = random.Random(7)
