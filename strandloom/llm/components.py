@@ -1,7 +1,11 @@
-"""Connected components of a link table by label propagation with pointer jumping.
+"""Connected components of a link table by contraction.
 
-No node, link or label comes to the driver: each round is a join and an aggregate, its labels are written to the
-shared folder, and only the number of changed labels is read.
+Each round every node points at its least neighbour, pointers are doubled until they reach the roots of their trees,
+and trees become the nodes of the next round. No node is left alone by a round, so each component's nodes at least
+halve and rounds are logarithmic whatever the diameter.
+
+No node, link or label comes to the driver: each step is a join and an aggregate, its result is written to the
+shared folder, and only whether rows are left is read.
 """
 
 from __future__ import annotations
@@ -12,21 +16,37 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def roots_of(live: DataFrame) -> DataFrame:
+    """node, root of the trees that pointers to least neighbours make; ``live`` has x, y in both directions.
+
+    A pointer's pointer is never above its node, so the only cycles are pairs, and the lesser one is the root.
+    """
+    near = live.groupBy("x").agg(F.min("y").alias("to"))
+    back = near.select(F.col("x").alias("to"), F.col("to").alias("back"))
+    first = near.join(back, "to").select(F.col("x").alias("node"), F.when((F.col("back") == F.col("x")) & (F.col("x") < F.col("to")), F.col("x")).otherwise(F.col("to")).alias("root"))
+    roots = materialise(first, "roots")
+    while True:
+        up = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        jumped = materialise(roots.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+        roots = jumped.drop("moved")
+        if not jumped.where("moved").limit(1).count():
+            return roots
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label (the smallest node of its component) for every node of a link."""
     pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    both = materialise(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    first = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y"))
-    labels = materialise(first.select("node", F.least("node", "y").alias("label")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("x"), "label"), "x").groupBy(F.col("y").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hooked = materialise(hooked, "labels")
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = hooked.join(jump, "label", "left").select("node", "old", F.coalesce("next", "label").alias("label"))
-        moved = materialise(moved, "labels")
-        changed = moved.where("label <> old").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    live = materialise(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    rounds: list[DataFrame] = []
+    while not rounds or live.limit(1).count():
+        roots = roots_of(live)
+        rounds.append(roots)
+        x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("x", "y"))
+        moved = live.join(x, "x").join(y, "y").select(F.col("x_root").alias("x"), F.col("y_root").alias("y"))
+        live = materialise(moved.where("x <> y").distinct(), "links")
+    whole = rounds.pop()
+    while rounds:  # a tree that had no links left is in no later round
+        later = whole.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        whole = materialise(rounds.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "roots")
+    least = whole.groupBy("root").agg(F.min("node").alias("label"))
+    return materialise(whole.join(least, "root").select("node", "label"), "labels")

@@ -59,6 +59,15 @@ def test_components_of_a_long_path(spark):
     assert {(r.node, r.label) for r in connected_components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def test_components_of_a_shuffled_path(spark):
+    ids = list(range(800))
+    random.Random(4).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(1000, 1001), (1002, 1001)], "a long, b long")
+    got = {r.node: r.label for r in connected_components(links).collect()}
+    assert got == {i: 0 for i in ids} | {1000: 1000, 1001: 1000, 1002: 1000}
+    assert connected_components(links.where("a > 5000")).count() == 0
+
+
 def repeat_rows():
     r = random.Random(3)
     passage = "".join(r.choice("abcd é") for _ in range(140))
