@@ -46,6 +46,34 @@ def test_near_duplicates(spark, words):
     assert ND.near_duplicates(documents(spark, []).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_id_and_over_several_blocks(spark):
+    rows = family(2)
+    rows += [(3, rows[-9][1]), (200, rows[20][1] + " tail"), (200, rows[-8][1]), (200, rows[-8][1])]
+    want = sorted(zip([d for d, _ in rows], components(rows, 2, 80), strict=True), key=repr)
+    got = sorted(((r.doc_id, r.component_id) for r in ND.near_duplicates(documents(spark, rows), words=2, block_rows=4).collect()), key=repr)
+    assert got == want
+
+
+def test_bands_keep_linked_members_together():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**64, len(ND.PLANES), dtype=np.uint64)
+    # members drift from the first: neighbours differ in few values, the ends in most
+    planes = [base]
+    for _ in range(60):
+        flip = np.zeros(64 * len(ND.PLANES), np.uint64)
+        flip[r.integers(0, len(flip), 30)] = 1
+        planes.append(planes[-1] ^ np.bitwise_or.reduce(flip.reshape(-1, 64) << np.arange(64, dtype=np.uint64), axis=1))
+    order = r.permutation(61)
+    rows = np.stack(planes)[order]
+    forest = ND.Forest(61)
+    for a, b in ND.band_edges(list(range(61)), rows):
+        forest.join(a, b)
+    apart = rows[:, None] ^ rows[None]
+    apart = np.bitwise_count(apart[:, :, ::2] | apart[:, :, 1::2]).sum(2)
+    near = np.argwhere(apart <= ND.DIFFER)
+    assert len(near) > 61 and all(forest.root(int(a)) == forest.root(int(b)) for a, b in near)
+
+
 def test_min_max_estimates_similarity():
     r = np.random.default_rng(1)
     both, a, b = (r.integers(0, 2**63, n, dtype=np.uint64) for n in (800, 100, 100))
