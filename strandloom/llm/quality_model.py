@@ -3,16 +3,21 @@
 Labellers vote good, bad or not at all on each of two targets, low quality and toxicity; they overlap, and where a
 table of annotations is given the annotator is one of them. Expectation-maximisation estimates for each labeller
 how it votes on good and on bad documents, and the prior, from the counts of vote patterns over all documents (a
-few hundred rows, whatever the corpus). The posterior of a document's pattern is its weak label.
+few hundred rows, whatever the corpus). The annotator starts as some ``ANNOTATOR_VOTES`` votes of reliability 0.995,
+which tie the classes to their meaning. The posterior of a document's pattern is its weak label, annotated or not.
 
 A scorer is linear in hashed features: words, word beginnings, and bands of style measures, each present or not.
-It is trained on a bounded sample of ``sample_rows`` documents, annotated ones first, in one task: features that go
-with the posterior by chance are left out by a normal test, the rest are fitted by logistic regression. All
-documents are scored; one is kept if each target's score is below its limit.
-
-Defined cases: null, empty or blank texts have no style votes and score as their bias says, which keeps them; rows
-with equal ids are rows; a null id is scored like any other; without annotations, or with an empty table of them,
-the sample is drawn from all documents; an empty table gives no rows; other columns are ignored.
+It is trained on posteriors of a bounded sample of about ``sample_rows`` documents of all vote patterns, half of
+them annotated ones if there are so many. Features are counted where the documents are; those that go with the
+posterior by chance are left out by a normal test, and the driver fits the weights of the rest (20,000 at most) by
+logistic regression over the sample's rows, which hold nothing but such features. All documents are scored; one is
+kept if each target's score is below its limit.
+
+Defined cases: null, empty or blank texts have no style votes and score as their bias says, which keeps them; very
+long texts are one row of a batch; rows with equal ids are rows, and equal rows are one of the sample; a null id is
+scored like any other and is not sampled; without annotations, or with an empty table of them, the sample is drawn
+from all documents; annotations that repeat an id count as their mean, those with a null id or null values not at
+all; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, id_text, materialise, read_table, slices
+from .common import bound_arrow_batches, discard, id_text, materialise, read_table, slices
 
-#: Plain insults, a fixed list.
-INSULTS = frozenset(b"clown disgusting dumb filthy garbage idiot idiotic jerk loser losers moron moronic pathetic scum scumbag stupid trash vermin vile worthless".split())
+#: Plain insults, fixed lists: names for people, what is said of them, and hostile verbs. No word is in two lists.
+NAMES = frozenset(b"clown garbage idiot jerk loser losers moron scum scumbag trash vermin".split())
+SLURS = frozenset(b"disgusting dumb filthy idiotic moronic pathetic stupid vile worthless".split())
+HOSTILE = frozenset(b"despise hate hates loathe shut".split())
+INSULTS = NAMES | SLURS
+#: Frequent English words, a fixed list: the lists above say nothing of a text with fewer than one in fifty of them.
+ENGLISH = frozenset(b"and in is of that the to".split())
 TARGETS = ("low_quality", "toxic")
 GOOD, BAD, NONE = 1, 0, 2
-LABELLERS = {"low_quality": ("symbols", "capitals", "repeats", "lines", "lengths", "annotator"), "toxic": ("insult", "insults", "density", "annotator")}
+LABELLERS = {"low_quality": ("symbols", "capitals", "repeats", "lines", "lengths", "annotator"), "toxic": ("names", "slurs", "hostile", "annotator")}
+#: The annotator's reliability is given as if so many votes had been seen.
+ANNOTATOR_VOTES = 2000
 SYMBOLS = b"#*$%&|<>=~^{}[]\\@_"
 #: Numbers for hashed words; the bands of style measures have their own numbers above them.
 WORD_DIMENSIONS = 1 << 22
@@ -55,6 +67,7 @@ class Style:
     distinct: float = 1.0
     lines: float = 0.0
     length: float = 0.0
+    english: float = 0.0
     insults: list[bytes] = field(default_factory=list)
     bare: set[bytes] = field(default_factory=set)
 
@@ -68,8 +81,10 @@ def style(text: bytes) -> Style:
     size = len(text)
     s.symbols = (size - len(text.translate(None, SYMBOLS))) / n
     lowered = text.lower()
-    different = set(lowered.split())
+    small = lowered.split()
+    different = set(small)
     s.distinct = len(different) / n
+    s.english = sum(map(ENGLISH.__contains__, small)) / n
     if lowered != text:
         some = [w for w in words if len(w) > 1 and w[:2].isupper()]
         s.capitals = len(some) / n
@@ -99,8 +114,8 @@ def votes(s: Style) -> list[int]:
         vote(0.3, 0.5, s.lines),
         GOOD if 2 <= s.length <= 14 else BAD if s.length > 30 else NONE,
     ]
-    k = len(s.insults)
-    return [*quality, BAD if k else GOOD, BAD if k >= 2 else NONE, BAD if k and k >= 0.01 * n else NONE]
+    quiet = GOOD if s.english >= 0.02 else NONE
+    return [*quality, *(quiet if x.isdisjoint(s.bare) else BAD for x in (NAMES, SLURS)), NONE if HOSTILE.isdisjoint(s.bare) else BAD]
 
 
 def style_bands(s: Style) -> list[int]:
@@ -133,8 +148,8 @@ def features(s: Style, cache: dict[bytes, list[int]]) -> np.ndarray:
 class LabelModel:
     """Expectation-maximisation for one target over counts of vote patterns.
 
-    A table holds P(vote | class) of each labeller when it votes. The last labeller is the annotator; its
-    reliability is given, which ties the two classes to their meaning, and the heuristics' is estimated.
+    A table holds P(vote | class) of each labeller when it votes. The last labeller is the annotator, whose start
+    weighs ``ANNOTATOR_VOTES`` votes; the others' weighs 20.
     """
 
     def __init__(self, labellers: int, annotator: float = 0.995):
@@ -155,29 +170,21 @@ class LabelModel:
             bad = self.posterior(patterns)
             weight = np.stack([bad * counts, (1 - bad) * counts])
             self.prior_bad = float(np.clip(weight[0].sum() / counts.sum(), 1e-3, 0.5))
-            for k in range(patterns.shape[1] - 1):
+            last = patterns.shape[1] - 1
+            for k in range(last + 1):
                 for v in (BAD, GOOD):
                     # the start acts as some votes, so that a labeller without votes keeps its meaning
-                    self.table[k, :, v] = weight[:, patterns[:, k] == v].sum(1) + 20 * start[k, :, v]
+                    self.table[k, :, v] = weight[:, patterns[:, k] == v].sum(1) + (ANNOTATOR_VOTES if k == last else 20) * start[k, :, v]
                 self.table[k] /= self.table[k].sum(1, keepdims=True)
         return self
 
 
-def fit_scorer(rows: list[np.ndarray], bad: np.ndarray, epochs: int = 200, least_z: float = 5.0, most: int = 20_000) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature numbers, their weights and the bias, by logistic regression on features that pass a normal test."""
-    sizes = np.array([len(r) for r in rows])
-    flat, own = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), sizes)
+def fit_scorer(rows: list[list[int]], bad: np.ndarray, picked: list[int], epochs: int = 200) -> tuple[np.ndarray, float]:
+    """Weights of the picked features and the bias, by logistic regression; a row holds its features' numbers."""
+    number = {f: k for k, f in enumerate(picked)}
+    mine = [[number[f] for f in r if f in number] for r in rows]
+    flat, own = np.array([k for r in mine for k in r], np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in mine])
     rate = float(np.clip(bad.mean() if len(bad) else 0.0, 1e-4, 1 - 1e-4))
-    seen, with_bad = np.bincount(flat, minlength=DIMENSIONS), np.bincount(flat, bad[own], DIMENSIONS)
-    z = (with_bad - rate * seen) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
-    # a feature must speak clearly for bad; few features do, and the bias speaks for good
-    good_share = (seen - with_bad) / np.maximum(seen, 1)
-    picked = np.flatnonzero((seen >= 4) & (z > least_z) & (good_share < 0.3))
-    picked = picked[np.argsort(-z[picked], kind="stable")][:most]
-    number = np.full(DIMENSIONS, -1)
-    number[picked] = np.arange(len(picked))
-    keep = number[flat] >= 0
-    flat, own = number[flat[keep]], own[keep]
     # full-batch steps with a size of their own for each weight (Adagrad)
     w, bias = np.zeros(len(picked)), float(np.log(rate / (1 - rate)))
     squares, square = np.full(len(picked), 1e-2), 1e-2
@@ -186,7 +193,7 @@ def fit_scorer(rows: list[np.ndarray], bad: np.ndarray, epochs: int = 200, least
         slope, tilt = np.bincount(flat, error[own], len(picked)) + 1e-3 * w, float(error.sum())
         squares, square = squares + slope * slope, square + tilt * tilt
         w, bias = w - slope / np.sqrt(squares), bias - tilt / np.sqrt(square)
-    return picked, w, bias
+    return w, bias
 
 
 def annotated(labels: DataFrame | None) -> DataFrame | None:
@@ -211,6 +218,65 @@ def pattern_of(raw: bytes, a: tuple[int, int]) -> tuple[list[int], list[int]]:
     return [*raw[:5], a[0]], [*raw[5:], a[1]]
 
 
+def sample_of(joined: DataFrame, counts: dict[bool, int], sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` documents of ``joined``, half of them annotated if there are so many; counts: rows by annotated or not."""
+    noted = min(counts[True], max(sample_rows // 2, sample_rows - counts[False]))
+    shares = {True: noted / max(1, counts[True]), False: min(1.0, (sample_rows - noted) / max(1, counts[False]))}
+    share = F.when((F.col("a0") != NONE) | (F.col("a1") != NONE), int(shares[True] * (1 << 30))).otherwise(int(shares[False] * (1 << 30)))
+    return joined.where("doc_id IS NOT NULL").where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < share).select("doc_id", "votes", "a0", "a1").dropDuplicates(["doc_id", "votes"])
+
+
+def weak_labels(models: list[LabelModel], votes: list[bytes], a0: list[int], a1: list[int]) -> list[np.ndarray]:
+    """P(bad) of each document, for each target; NaN where no labeller votes, as such documents teach nothing."""
+    both = [pattern_of(v, a) for v, *a in zip(votes, a0, a1, strict=True)]
+    out = []
+    for k, m in enumerate(models):
+        patterns = np.array([b[k] for b in both], np.int64).reshape(len(both), len(m.table))
+        out.append(np.where((patterns == NONE).all(1), np.nan, m.posterior(patterns)))
+    return out
+
+
+def feature_counts(rows: DataFrame, models: list[LabelModel]) -> DataFrame:
+    """feature, in how many labelled rows it is (n0, n1) and the sums of their posteriors (b0, b1); feature -1 is in every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, list[int]] = {}
+        for part in slices(batches):
+            found = [features(style(t), cache) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            own = np.repeat(np.arange(len(found)), [len(f) + 1 for f in found])
+            flat, at = np.unique(np.concatenate([np.append(f, -1) for f in found]), return_inverse=True)
+            bad = weak_labels(models, *(part.column(k).to_pylist() for k in (2, 3, 4)))
+            sums = [np.bincount(at, y[own], len(flat)) for x in bad for y in ((~np.isnan(x)).astype(float), np.nan_to_num(x))]
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *map(pa.array, sums)], names=["feature", "n0", "b0", "n1", "b1"])
+
+    counted = rows.select("doc_id", "text", "votes", "a0", "a1").mapInArrow(run, "feature long, n0 double, b0 double, n1 double, b1 double")
+    return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n0", "b0", "n1", "b1")])
+
+
+def picked_features(counts: DataFrame, target: int, least_z: float = 5.0, most: int = 20_000) -> list[int]:
+    """Features that speak clearly for bad; few do, and the bias speaks for good."""
+    total = counts.where("feature = -1").first()
+    if total is None or not total[f"n{target}"]:
+        return []
+    rate = float(np.clip(total[f"b{target}"] / total[f"n{target}"], 1e-4, 1 - 1e-4))
+    seen, bad = F.col(f"n{target}"), F.col(f"b{target}")
+    z = (bad - rate * seen) / F.sqrt(seen * (rate * (1 - rate)))
+    clear = counts.where((F.col("feature") >= 0) & (seen >= 4)).where((z > least_z) & ((seen - bad) / seen < 0.3))
+    return sorted(r["feature"] for r in clear.orderBy(z.desc(), "feature").limit(most).collect())
+
+
+def sample_features(rows: DataFrame, picked: set[int]) -> DataFrame:
+    """doc_id, votes, a0, a1 and the picked features of each document of the sample, equal rows once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, list[int]] = {}
+        for part in slices(batches):
+            found = [sorted(picked.intersection(features(style(t), cache).tolist())) for t in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "votes", "a0", "a1", "found"])
+
+    return rows.select("doc_id", "text", "votes", "a0", "a1").mapInArrow(run, "doc_id long, votes binary, a0 int, a1 int, found array<long>").dropDuplicates(["doc_id", "votes"])
+
+
 def train(texts: DataFrame, labels: DataFrame | None, sample_rows: int) -> tuple[list[LabelModel], list[tuple[np.ndarray, np.ndarray, float]]]:
     table = materialise(vote_table(texts), "votes")
     notes = annotated(labels)
@@ -222,64 +288,78 @@ def train(texts: DataFrame, labels: DataFrame | None, sample_rows: int) -> tuple
     counts = np.array([r["n"] for r in groups], float)
     models = [LabelModel(len(LABELLERS[t])).fit(np.array([p[k] for p in patterns], np.int64).reshape(-1, len(LABELLERS[t])), counts) for k, t in enumerate(TARGETS)]
 
-    noted = sum(r["m"] for r in groups if (r["a0"], r["a1"]) != (NONE, NONE))
-    pool = joined.where(f"doc_id IS NOT NULL AND (a0 <> {NONE} OR a1 <> {NONE})") if noted else joined.where("doc_id IS NOT NULL")
-    there = noted or sum(r["m"] for r in groups)
-    share = int(min(1.0, sample_rows / max(1, there)) * (1 << 30))
-    sample = pool.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("doc_id", "votes", "a0", "a1").dropDuplicates(["doc_id"])
-    rows = texts.join(F.broadcast(sample), "doc_id").withColumn("one", F.lit(0))  # about sample_rows rows of 30 bytes
-
-    def fit(group: pa.Table) -> pa.Table:
-        cache: dict[bytes, list[int]] = {}
-        found = [features(style(t), cache) for t in group.column("text").cast(pa.large_binary()).to_pylist()]
-        both = [pattern_of(v, a) for v, *a in zip(group.column("votes").to_pylist(), group.column("a0").to_pylist(), group.column("a1").to_pylist(), strict=True)]
-        out: list[tuple] = []
-        for k in range(len(TARGETS)):
-            picked, w, bias = fit_scorer(found, models[k].posterior(np.array([b[k] for b in both], np.int64)))
-            out += [(k, -1, bias), *((k, int(i), float(x)) for i, x in zip(picked, w, strict=True) if x)]
-        return pa.table({"target": pa.array([x[0] for x in out], pa.int32()), "feature": pa.array([x[1] for x in out], pa.int64()), "weight": pa.array([x[2] for x in out], pa.float64())})
-
-    scorers = []
-    weights = rows.groupBy("one").applyInArrow(fit, "target int, feature long, weight double").collect()  # at most 20,000 features each
+    there = {x: sum(r["m"] for r in groups if ((r["a0"], r["a1"]) != (NONE, NONE)) == x) for x in (True, False)}
+    sample = materialise(sample_of(joined, there, sample_rows), "sample")
+    rows = texts.join(F.broadcast(sample), "doc_id")  # about sample_rows rows of 40 bytes
+    counted = materialise(feature_counts(rows, models), "features")
+    picked = [picked_features(counted, k) for k in range(len(TARGETS))]
+    known = sample_features(rows, set().union(*picked)).toArrow()  # about sample_rows rows of few numbers
+    bad = weak_labels(models, *(known.column(c).to_pylist() for c in ("votes", "a0", "a1")))
+    scorers, found = [], known.column("found").to_pylist()
     for k in range(len(TARGETS)):
-        mine = sorted((r["feature"], r["weight"]) for r in weights if r["target"] == k)
-        bias = next((w for f, w in mine if f < 0), -4.0)
-        scorers.append((np.array([f for f, _ in mine if f >= 0], np.int64), np.array([w for f, w in mine if f >= 0]), bias))
+        taught = np.flatnonzero(~np.isnan(bad[k]))
+        w, bias = fit_scorer([found[i] for i in taught.tolist()], bad[k][taught], picked[k]) if len(taught) else (np.zeros(len(picked[k])), -4.0)
+        scorers.append((np.array(picked[k], np.int64), w, bias))
+    discard(table, sample, counted)
     return models, scorers
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, carry: bool = False) -> DataFrame:
-    """doc_id, low_quality and toxic (log-odds scores), kept, for every row; with ``carry`` also its columns, in ``row``."""
-    bound_arrow_batches(docs.sparkSession)
-    texts = id_text(docs, id_col, text_col)
-    _, scorers = train(texts, labels, sample_rows)
+def scorer_of(scorers: list[tuple[np.ndarray, np.ndarray, float]]):
+    """A function from texts to both targets' scores."""
     tables = [dict(zip(f.tolist(), w.tolist(), strict=True)) for f, w, _ in scorers]
     biases = [b for _, _, b in scorers]
 
+    def score(texts: list[bytes], known: dict[bytes, tuple]) -> tuple[np.ndarray, np.ndarray]:
+        scores: list[list[float]] = [[], []]
+        for text in texts:
+            s = style(text)
+            if len(known) > 500_000:
+                known.clear()
+            hits: set[int] = set()
+            for w in s.bare:
+                f = known.get(w)
+                if f is None:
+                    f = known[w] = tuple(x for x in word_features(w) if x in tables[0] or x in tables[1])
+                if f:
+                    hits.update(f)
+            hits.update(style_bands(s))
+            for k in range(2):
+                scores[k].append(biases[k] + sum(tables[k].get(x, 0.0) for x in hits))
+        return np.array(scores[0]), np.array(scores[1])
+
+    return score
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, low_quality and toxic (log-odds scores), kept, for every row."""
+    bound_arrow_batches(docs.sparkSession)
+    texts = id_text(docs, id_col, text_col)
+    score = scorer_of(train(texts, labels, sample_rows)[1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         for part in slices(batches):
-            scores: list[list[float]] = [[], []]
-            for text in part.column(1).cast(pa.binary()).to_pylist():
-                s = style(text)
-                if len(known) > 500_000:
-                    known.clear()
-                hits: set[int] = set()
-                for w in s.bare:
-                    f = known.get(w)
-                    if f is None:
-                        f = known[w] = tuple(x for x in word_features(w) if x in tables[0] or x in tables[1])
-                    if f:
-                        hits.update(f)
-                hits.update(style_bands(s))
-                for k in range(2):
-                    scores[k].append(biases[k] + sum(tables[k].get(x, 0.0) for x in hits))
-            low, toxic = map(np.array, scores)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(low), pa.array(toxic), pa.array((low < LIMITS[0]) & (toxic < LIMITS[1])), *part.columns[2:]], names=["doc_id", "low_quality", "toxic", "kept", *["row"] * carry])
-
-    rows = id_text(docs, id_col, text_col, carry)
-    more = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
-    return rows.mapInArrow(run, "doc_id long, low_quality double, toxic double, kept boolean" + more)
+            low, toxic = score(part.column(1).cast(pa.binary()).to_pylist(), known)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(low), pa.array(toxic), pa.array((low < LIMITS[0]) & (toxic < LIMITS[1]))], names=["doc_id", "low_quality", "toxic", "kept"])
+
+    return texts.mapInArrow(run, "doc_id long, low_quality double, toxic double, kept boolean")
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns; the text goes through Python once."""
+    bound_arrow_batches(docs.sparkSession)
+    score = scorer_of(train(id_text(docs, id_col, text_col), labels, sample_rows)[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple] = {}
+        for part in slices(batches, column=0):
+            low, toxic = score([t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()], known)
+            yield part.filter(pa.array((low < LIMITS[0]) & (toxic < LIMITS[1])))
+
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("row"))
+    kept = rows.mapInArrow(run, rows.schema)
+    return kept.select(*[(F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
