@@ -8,17 +8,22 @@ To run it on a cluster, windows of ``length`` bytes are dealt by their minimizer
 k-grams: equal windows have equal minimizers, and the run of windows with one minimizer is one stretch of text.
 Three steps keep the volume small:
 
-1. Copies of whole documents are found by digest; the later ones are covered entirely.
-2. Of the other documents only two hashes of 64 bits per stretch are shuffled: its minimizer's and its own. A
-   stretch that an earlier document has too is covered; both hashes decide, whole. Tasks combine equal stretches first, so that a passage that very many
-   documents hold is sent once per task. Stretches with a minimizer of their own are done: no earlier window
-   can equal theirs.
+1. Copies of whole documents are found by SHA-256; the later ones are covered entirely.
+2. Of the other documents only hashes of each stretch are shuffled: 64 bits of its minimizer and 128 of its own. A
+   stretch that an earlier document has too is covered; all 192 bits decide. Tasks combine equal stretches first, so
+   that a passage that very many documents hold is sent once per task, and say themselves which of the others are
+   covered. Stretches with a minimizer of their own are done: no earlier window can equal theirs.
 3. Stretches that share a minimizer but not the whole stretch are compared as bytes: each different one is sent
    once, from its first document, and goes through the suffix-array family, batch by batch in order of documents.
 
-Defined cases: null text is empty and has no bytes; a document shorter than ``length`` loses nothing; rows that
-share an id do not remove each other's bytes; a null id removes nothing and loses nothing; an empty table gives
-no rows; other columns are ignored. Positions are bytes of UTF-8, the end exclusive.
+A minimizer with very many contexts would make one shard large. Frequent ones (``HOT_ROWS`` stretches or more, by a
+count over about ``SAMPLE_BYTES`` of text) are dealt window by window, by the hash of the window: equal windows meet,
+different contexts spread. What the sample misses is only dealt less evenly; results do not depend on it.
+
+Defined cases: null text is empty and has no bytes; a document shorter than ``length`` loses nothing; a very long
+text is hashed in pieces; rows that share an id do not remove each other's bytes; a null id removes nothing and
+loses nothing; an empty table gives no rows; other columns are ignored. Positions are bytes of UTF-8, the end
+exclusive.
 """
 
 from __future__ import annotations
@@ -31,15 +36,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, id_text, materialise, read_table, release_shuffles, slices
+from .common import bound_arrow_batches, discard, materialise, read_table, slices, with_rest
 
 GRAM = 16
 SHARD_BYTES = 48 << 20
 SHARD_WINDOWS = 1 << 20
 BATCH_WINDOWS = 1 << 18
+#: Stretches that make a minimizer frequent, and the bytes of text that are counted for it.
+HOT_ROWS, SAMPLE_BYTES = 200_000, 64 << 20
+NO_KEYS = np.zeros(0, np.uint64)
 #: Text that is hashed at once; positions in it take 24 bits.
 PIECE = 8 << 20
-_FAR = np.int64(2**63 - 1)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -74,8 +81,11 @@ class Hashes:
         return out
 
 
-def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one minimizer: text number, first window, windows, minimizer's hash, stretch's hash."""
+def stretches(texts: list[bytes], length: int, gram: int, hot: np.ndarray = NO_KEYS) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimizer: text number, first window, windows, minimizer's hash, stretch's two hashes.
+
+    Windows of minimizers in ``hot`` (ascending) are runs of their own, with the window's hash in the key.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     held = 0
 
@@ -102,10 +112,23 @@ def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, .
         low, owner = (least[at] & np.uint64(0xFFFFFF)).astype(np.int64), owner[at]
         first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])))
         count = np.diff(np.append(first, len(at)))
-        start, low, owner = at[first], low[first], owner[first]
-        whole = scramble(windows[start] * np.uint64(0xE7037ED1A0B428DB) + windows[start + count - 1]) + count.astype(np.uint64)
+        start, low, owner = at[first], scramble(grams[low[first]] + np.uint64(1)), owner[first]
+        if len(hot):
+            n = np.where(hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low, count, 1)
+            single = np.repeat(n > 1, n)
+            start = np.repeat(start, n) + np.where(single, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), 0)
+            low, owner, count = np.repeat(low, n), np.repeat(owner, n), np.where(single, 1, np.repeat(count, n))
+            alone = single | (hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low)
+            low = np.where(alone, scramble(low * np.uint64(0x8CB92BA72F3D8DD7) + windows[start]), low)
+        last = start + count - 1
+        whole = scramble(windows[start] * np.uint64(0xE7037ED1A0B428DB) + windows[last]) + count.astype(np.uint64)
+        # the second hash puts the same bytes together from other parts
+        half = 1 << ((length - 1).bit_length() - 1)
+        parts, again = h.power(half), np.zeros(len(start), np.uint64)
+        for at_ in (start, start + length - half, last, last + length - half):
+            again = scramble(again * np.uint64(0xD1342543DE82EF95) + parts[at_])
         base, doc = np.array([b for _, b, _ in pieces], np.int64), np.array([d for d, _, _ in pieces], np.int64)
-        out.append((doc[owner], start - (ends - sizes)[owner] + base[owner], count, scramble(grams[low] + np.uint64(1)), whole))
+        out.append((doc[owner], start - (ends - sizes)[owner] + base[owner], count, low, whole, again))
 
     pending: list[tuple[int, int, bytes]] = []
     for d, text in enumerate(texts):
@@ -122,7 +145,7 @@ def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, .
         flush(pending)
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, NO_KEYS, NO_KEYS, NO_KEYS
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -201,7 +224,23 @@ def batch_of(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
 
 
-def send_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
+def hot_minimizers(docs: DataFrame, total: int, length: int, gram: int, hot_rows: int) -> np.ndarray:
+    """Minimizers of ``hot_rows`` stretches or more by a count over a sample, ascending: at most one per 30 of its stretches."""
+    share = min(1.0, SAMPLE_BYTES / max(1, total))
+    least = max(30 if share < 1 else 2, int(hot_rows * share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column=0):
+            low, n = np.unique(stretches(part.column(0).cast(pa.binary()).to_pylist(), length, gram)[3], return_counts=True)
+            often = n > 1  # what is frequent in the sample is so in some batch
+            yield pa.RecordBatch.from_arrays([pa.array(low[often].view(np.int64)), pa.array(n[often])], names=["low", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("tag", "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    found = sample.mapInArrow(run, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("low")
+    return np.sort(np.array([r["low"] for r in found.collect()], np.int64).view(np.uint64))
+
+
+def send_stretches(docs: DataFrame, shards: int, length: int, gram: int, hot: np.ndarray = NO_KEYS) -> DataFrame:
     """shard, entries (blob) and known (blob): what a task could not decide, and what it could."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +248,14 @@ def send_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> Data
         size = 0
 
         def emit() -> pa.RecordBatch:
-            doc, tag, start, count, low, whole = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, whole, low))
-            doc, tag, start, count, low, whole = (x[order] for x in (doc, tag, start, count, low, whole))
-            new = first_of_runs(low, whole)
+            doc, tag, start, count, low, whole, again = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, again, whole, low))
+            doc, tag, start, count, low, whole, again = (x[order] for x in (doc, tag, start, count, low, whole, again))
+            new = first_of_runs(low, whole, again)
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
             settled = doc > least  # an earlier document of this task has the same stretch
-            shard = (low % np.uint64(shards)).astype(np.int64)
+            # what is settled needs no other stretch and is dealt by document, however frequent its minimizer
+            shard = (np.where(settled, scramble(doc.view(np.uint64)), low) % np.uint64(shards)).astype(np.int64)
             rows = []
             for which, mask in ((0, ~settled), (1, settled)):
                 at = np.flatnonzero(mask)
@@ -223,7 +263,7 @@ def send_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> Data
                 cuts = np.append(np.flatnonzero(first_of_runs(shard[at])), len(at)).tolist()
                 for i, j in zip(cuts, cuts[1:], strict=False):
                     k = at[i:j]
-                    more = [low[k], whole[k]] if which == 0 else []
+                    more = [low[k], whole[k], again[k]] if which == 0 else []
                     blob = pack_documents(doc[k], tag[k], start[k], count[k].astype(np.uint8), *more)
                     rows.append((int(shard[k[0]]), blob if which == 0 else None, blob if which else None))
             return batch_of(rows, [pa.int32(), pa.binary(), pa.binary()], ["shard", "entries", "known"])
@@ -231,9 +271,9 @@ def send_stretches(docs: DataFrame, shards: int, length: int, gram: int) -> Data
         for part in slices(batches, column=2):
             doc, tag = (part.column(k).to_numpy() for k in (0, 1))
             texts = part.column(2).cast(pa.binary()).to_pylist()
-            d, start, count, low, whole = stretches(texts, length, gram)
+            d, start, count, low, whole, again = stretches(texts, length, gram, hot)
             if len(d):
-                held.append([doc[d], tag[d], start, count, low, whole])
+                held.append([doc[d], tag[d], start, count, low, whole, again])
             size += sum(map(len, texts))
             if size >= 16 << 20 and held:
                 yield emit()
@@ -262,11 +302,11 @@ def settle_shard(buckets: int):
         if known := read_blobs(table.column("known")):
             rows += [(b, blob, None) for b, blob in by_bucket(buckets, *known)]
         if entries := read_blobs(table.column("entries")):
-            doc, _, _, _, low, whole = entries
-            order = np.lexsort((doc, whole, low))
-            doc, tag, start, count, low, whole = (x[order] for x in entries)
+            doc, _, _, _, low, whole, again = entries
+            order = np.lexsort((doc, again, whole, low))
+            doc, tag, start, count, low, whole, again = (x[order] for x in entries)
             new_low = first_of_runs(low)
-            new = new_low | first_of_runs(whole)
+            new = new_low | first_of_runs(whole, again)
             covered = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             rows += [(b, blob, None) for b, blob in by_bucket(buckets, doc[covered], tag[covered], start[covered], count[covered])]
             kinds = np.bincount((np.cumsum(new_low) - 1)[new])
@@ -277,42 +317,78 @@ def settle_shard(buckets: int):
     return run
 
 
+class SuffixArray:
+    """Different suffixes of a text in order, cut at one length: where each begins, and the first document that has it."""
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int):
+        self.text, self.starts, self.docs, self.length = text, starts, docs, length
+
+    @classmethod
+    def of(cls, text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> SuffixArray:
+        """Order suffixes by their bytes, eight at a time from the last; each start has ``length`` bytes of text."""
+        wide = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)
+        cuts = [*range(0, max(1, length - 7), 8), *([length - 8] if length > 8 and length % 8 else [])]
+        blocks = [np.ascontiguousarray(wide[starts + c]).view(">u8")[:, 0].astype(np.uint64) for c in cuts]
+        if length < 8:
+            blocks = [blocks[0] >> np.uint64(8 * (8 - length))]
+        order = np.lexsort((docs, *blocks[::-1]))
+        new = first_of_runs(*(x[order] for x in blocks))
+        return cls(text, starts[order][new], docs[order][new], length)
+
+    def keys(self) -> np.ndarray:
+        windows = np.lib.stride_tricks.sliding_window_view(self.text, self.length)
+        return np.ascontiguousarray(windows[self.starts]).view(f"V{self.length}")[:, 0]
+
+    def merged(self, other: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of both arrays' suffixes, own ones first, and where equal ones begin: two sorted runs are merged."""
+        both = np.concatenate([self.keys(), other.keys()]).view(np.uint8).reshape(-1, self.length)
+        # strings of fixed length drop zero bytes at their end, so each gets a closing byte
+        closed = np.append(both, np.ones((len(both), 1), np.uint8), axis=1).view(f"S{self.length + 1}")[:, 0]
+        order = np.argsort(closed, kind="stable")
+        return order, first_of_runs(closed[order])
+
+    def joined(self, other: SuffixArray) -> SuffixArray:
+        order, new = self.merged(other)
+        docs = np.append(self.docs, other.docs)[order]
+        starts = np.append(self.starts, other.starts + len(self.text))[order][new]
+        return SuffixArray(np.append(self.text, other.text), starts, np.minimum.reduceat(docs, np.flatnonzero(new)), self.length)
+
+
 class SuffixLevels:
-    """Sorted arrays of suffixes cut at one length, each with its first document; sizes grow geometrically."""
+    """A family of suffix arrays whose sizes grow geometrically."""
 
     def __init__(self, length: int):
-        self.kind, self.levels = np.dtype(f"S{length}"), []
-
-    @staticmethod
-    def array(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The different suffixes in order, each with its first document."""
-        order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
-        at = np.flatnonzero(first_of_runs(keys))
-        return keys[at], np.minimum.reduceat(docs, at) if len(at) else docs
-
-    def scan(self, keys: np.ndarray) -> np.ndarray:
-        """For ascending suffixes the first document that has each, over all levels."""
-        best = np.full(len(keys), _FAR)
-        for level, docs in self.levels:
-            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
-            hit = level[at] == keys
-            best[hit] = np.minimum(best[hit], docs[at[hit]])
-        return best
-
-    def add(self, keys: np.ndarray, docs: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(keys):
-            old, old_docs = self.levels.pop()
-            keys, docs = self.array(np.concatenate([old, keys]), np.concatenate([old_docs, docs]))
-        self.levels.append((keys, docs))
-
-    def match(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        self.length, self.levels = length, []
+
+    def scan(self, mine: SuffixArray) -> np.ndarray:
+        """The first document that has each suffix of the batch, over all levels and the batch, by merge scans."""
+        least = mine.docs
+        for level in self.levels:
+            order, new = level.merged(mine)
+            first = np.minimum.reduceat(np.append(level.docs, least)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            own = order >= len(level.docs)
+            seen = np.empty_like(least)
+            seen[order[own] - len(level.docs)] = first[own]
+            least = seen
+        return least
+
+    def add(self, array: SuffixArray) -> None:
+        while self.levels and len(self.levels[-1].starts) <= 2 * len(array.starts):
+            array = self.levels.pop().joined(array)
+        self.levels.append(array)
+
+    def match(self, text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Whether an earlier document has each suffix; the batch joins the family."""
-        mine, first = self.array(keys, docs)
-        least = np.minimum(first, self.scan(mine))
-        found = least[np.searchsorted(mine, keys)] < docs
-        self.add(mine, first)
-        return found
+        if not len(starts):
+            return np.zeros(0, bool)
+        mine = SuffixArray.of(text, starts, docs, self.length)
+        least = self.scan(mine)
+        # the batch's own suffixes among its different ones, by one more merge
+        everyone = SuffixArray(text, starts, docs, self.length).keys().view(np.uint8).reshape(len(starts), -1)
+        closed = lambda x: np.append(x, np.ones((len(x), 1), np.uint8), axis=1).view(f"S{self.length + 1}")[:, 0]
+        at = np.searchsorted(closed(mine.keys().view(np.uint8).reshape(len(least), -1)), closed(everyone))
+        self.add(mine)
+        return least[at] < docs
 
 
 def fetch_bytes(found: DataFrame, docs: DataFrame, shards: int, length: int) -> DataFrame:
@@ -356,16 +432,15 @@ def compare_shard(length: int, buckets: int):
         order = np.lexsort((low, doc))
         family, hits, at = SuffixLevels(length), [], 0
         total = np.cumsum(count[order])
-        windows = np.lib.stride_tricks.sliding_window_view(text, length)
         while at < len(order):
             before = int(total[at - 1]) if at else 0
             end = max(at + 1, int(np.searchsorted(total, before + BATCH_WINDOWS, side="right")))
             k = order[at:end]
-            n = count[k]
+            n, size = count[k], sizes[k]
             which = np.repeat(np.arange(len(k)), n)
             shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            keys = np.ascontiguousarray(windows[begin[k][which] + shift]).view(family.kind)[:, 0]
-            hit = np.flatnonzero(family.match(keys, doc[k][which]))
+            batch = text[np.repeat(begin[k] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            hit = np.flatnonzero(family.match(batch, (np.cumsum(size) - size)[which] + shift, doc[k][which]))
             w, s = which[hit], shift[hit]
             if len(hit):  # neighbouring windows make one run
                 new = np.append(True, (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1))
@@ -392,36 +467,39 @@ def spans_of(covered: list[bytes], length: int) -> list[tuple[int, int]]:
     return list(zip(start[first].tolist(), end[last].tolist(), strict=True))
 
 
-RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, "
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = GRAM, carry: bool = False) -> DataFrame:
-    """doc_id, n_bytes, removed spans and the bytes that are left, for every row; with ``carry`` also what is left as text, in
-    ``left`` (a character that a cut divides goes), and the columns, in ``row``."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = GRAM, carry: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, n_bytes, removed spans and the bytes that are left, for every row; with ``carry`` what is left as text
+    instead, in ``left`` (a character that a cut divides goes), and the other columns, in ``row``, with ``no_text``."""
     if not 8 <= gram < length or length - gram + length > 255:
         raise ValueError("need 8 <= gram < length and 2 * length - gram <= 255")
     spark = docs.sparkSession
     bound_arrow_batches(spark, 1000)
-    all_rows = id_text(docs, id_col, text_col, carry).select("doc_id", F.xxhash64("text").alias("tag"), "text", *["row"] * carry)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    row = [F.struct(F.col(f"`{text_col}`").isNull().alias("no_text"), *others).alias("row")] if carry else []
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    with_rest(docs, id_col, text_col)
+    all_rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"), *row)
     texts = all_rows.select("doc_id", "tag", "text")
     long = texts.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     digests = materialise(long.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = materialise(digests.join(firsts, "digest").where("doc_id > first").select("doc_id", "tag").distinct(), "copies")
     total = digests.agg(F.sum("n")).first()[0] or 0
-    release_shuffles(spark)
 
     rest = long.join(copies, ["doc_id", "tag"], "left_anti").select("doc_id", "tag", "text")
     buckets = max(1, -(-total // SHARD_BYTES))  # as many of documents as of stretches
-    told = send_stretches(rest, buckets, length, gram).groupBy("shard").applyInArrow(settle_shard(buckets), TOLD)
+    hot = hot_minimizers(long, total, length, gram, hot_rows)
+    told = send_stretches(rest, buckets, length, gram, hot).groupBy("shard").applyInArrow(settle_shard(buckets), TOLD)
     found = materialise(told.groupBy("bucket").applyInArrow(regroup, FOUND), "stretches")
-    release_shuffles(spark)
     asked = found.where("asked IS NOT NULL").agg(F.sum(F.octet_length("asked"))).first()[0] or 0
     shards = max(1, -(-asked // 10 * (length - gram) // 2 // SHARD_WINDOWS))
     told = fetch_bytes(found, long, shards, length).groupBy("shard").applyInArrow(compare_shard(length, buckets), TOLD)
     compared = materialise(told.groupBy("bucket").applyInArrow(regroup, FOUND), "compared")
-    release_shuffles(spark)
+    discard(digests)
 
     covered = found.unionByName(compared).where("covered IS NOT NULL").groupBy("doc_id", "tag").agg(F.collect_list("covered").alias("covered"))
     covered = covered.select("doc_id", "tag", "covered", F.lit(False).alias("whole"))
@@ -438,13 +516,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(text[at:a])
                     at = b
                 rows.append((d, len(text), [{"start": a, "end": b} for a, b in spans], b"".join([*kept, text[at:]])))
-            out = batch_of(rows, [pa.int64(), pa.int64(), _SPANS, pa.binary()], ["doc_id", "n_bytes", "spans", "kept"])
             if carry:
-                left = pa.array([r[3].decode("utf-8", "ignore") for r in rows], pa.string())
-                out = pa.RecordBatch.from_arrays([*out.columns, left, part.column(4)], names=[*out.schema.names, "left", "row"])
+                out = batch_of([(d, n, spans, left.decode("utf-8", "ignore")) for d, n, spans, left in rows], [pa.int64(), pa.int64(), _SPANS, pa.string()], ["doc_id", "n_bytes", "spans", "left"])
+                out = out.append_column("row", part.column(4))
+            else:
+                out = batch_of(rows, [pa.int64(), pa.int64(), _SPANS, pa.binary()], ["doc_id", "n_bytes", "spans", "kept"])
             yield out
 
-    return joined.mapInArrow(run, RESULT + (f", left string, row {joined.schema['row'].dataType.simpleString()}" if carry else ""))
+    more = f"left string, row {joined.schema['row'].dataType.simpleString()}" if carry else "kept binary"
+    return joined.mapInArrow(run, RESULT + more)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

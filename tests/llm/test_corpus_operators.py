@@ -123,7 +123,7 @@ def test_repeats(spark, length):
 
 def test_stretches_that_share_half_a_hash_are_kept(spark):
     a, b = "bkzmrxxjgvroqqignmwosmpqepozttmycetzzmhbphmliwfikp", "sddmggbtouixjdoqtmwosmpqepozttmychafzxkkcsmcrztufc"
-    _, _, _, low, whole = stretches([a.encode(), b.encode()], 50, 16)
+    _, _, _, low, whole, again = stretches([a.encode(), b.encode()], 50, 16)
     half = np.uint64(0xFFFFFFFF)
     assert low[0] == low[1] and whole[0] & half == whole[1] & half and whole[0] != whole[1]
     rows = [(1, a), (2, b), (3, "x" + a + "y")]
@@ -131,10 +131,29 @@ def test_stretches_that_share_half_a_hash_are_kept(spark):
     assert got == {1: [], 2: [], 3: [(1, 51)]}
 
 
+def test_frequent_minimizers_are_dealt_by_window(spark):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    phrase = "".join(r.choice(letters) for _ in range(45))
+    rows = [(i, "".join(r.choice(letters) for _ in range(40)) + phrase + "".join(r.choice(letters) for _ in range(40))) for i in range(60)]
+    rows += [(60 + i, rows[i][1][20:110]) for i in range(20)] + [(90, phrase * 3), (91, "x" + phrase * 3)]
+    texts = [t.encode() for _, t in rows]
+    low, n = np.unique(stretches(texts, 50, 16)[3], return_counts=True)
+    hot = np.sort(low[n >= 20])
+    assert len(hot)
+    d, start, count, key, _, _ = stretches(texts, 50, 16, hot)
+    windows = sorted((int(a), int(s) + k) for a, s, c in zip(d, start, count, strict=True) for k in range(c))
+    assert windows == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 49)] and not np.isin(key, hot).any()
+    masks = repeats(rows, 50)
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in remove_repeats(documents(spark, rows), hot_rows=20).collect()}
+    for (i, _), mask in zip(rows, masks, strict=True):
+        assert [k for a, b in got[i] for k in range(a, b)] == [k for k, m in enumerate(mask) if m]
+
+
 def test_stretches_cover_each_window_once():
     r = random.Random(8)
     texts = [bytes(r.choice(b"ab ") for _ in range(n)) for n in (0, 49, 50, 51, 400)]
-    d, start, count, low, _ = stretches(texts, 50, 16)
+    d, start, count, low, _, _ = stretches(texts, 50, 16)
     windows = sorted((int(a), int(s) + k) for a, s, c in zip(d, start, count, strict=True) for k in range(c))
     assert windows == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 49)]
 
@@ -143,12 +162,15 @@ def test_suffix_levels_grow_geometrically():
     r = random.Random(2)
     family_, seen = SuffixLevels(4), {}
     for doc in range(60):
-        keys = np.array([bytes(r.choice(b"abc") for _ in range(4)) for _ in range(r.randrange(1, 30))], "S4")
-        got = family_.match(keys, np.full(len(keys), doc))
-        assert got.tolist() == [seen.get(bytes(k), doc) < doc for k in keys]
+        text = bytes(r.choice(b"a\x00c") for _ in range(r.randrange(4, 40)))
+        keys = [text[i : i + 4] for i in range(len(text) - 3)]
+        got = family_.match(np.frombuffer(text, np.uint8), np.arange(len(keys)), np.full(len(keys), doc))
+        assert got.tolist() == [seen.get(k, doc) < doc for k in keys]
         for k in keys:
-            seen.setdefault(bytes(k), doc)
-    sizes = [len(k) for k, _ in family_.levels]
+            seen.setdefault(k, doc)
+    for level in family_.levels:
+        assert [bytes(k) for k in level.keys()] == sorted({bytes(k) for k in level.keys()})
+    sizes = [len(x.starts) for x in family_.levels]
     assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
 
 
