@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,20 +21,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Lower the rows per Arrow batch so that long texts cannot fill a worker; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Lower the rows and bytes per Arrow batch, so that long texts cannot fill a worker; smaller settings stay.
+
+    The session keeps the bounds, as a plan reads them when it runs.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 2 * SLICE_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where it is unset (tests on one machine), a temporary folder is set for the session.
+    Where it is unset, a temporary folder is set if the session runs in one process, as in tests; a cluster must name it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="strandloom-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -47,20 +54,28 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends and a lost executor costs nothing.
 
-    Parquet is used instead of ``checkpoint()`` because its files are compressed and columns can be pruned.
+    Parquet is used instead of ``checkpoint()`` because its files are compressed and columns can be pruned. Shuffle
+    files of the step go as soon as it is written.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of steps whose result is already written."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialised tables that no later step reads."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def with_rest(df: DataFrame, *needed: str) -> None:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def roots_of(live: DataFrame) -> DataFrame:
@@ -28,9 +28,10 @@ def roots_of(live: DataFrame) -> DataFrame:
     while True:
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
         jumped = materialise(roots.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
-        roots = jumped.drop("moved")
+        discard(roots)
         if not jumped.where("moved").limit(1).count():
-            return roots
+            return jumped
+        roots = jumped
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -43,10 +44,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         rounds.append(roots)
         x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("x", "y"))
         moved = live.join(x, "x").join(y, "y").select(F.col("x_root").alias("x"), F.col("y_root").alias("y"))
-        live = materialise(moved.where("x <> y").distinct(), "links")
+        left = materialise(moved.where("x <> y").distinct(), "links")
+        discard(live)
+        live = left
     whole = rounds.pop()
     while rounds:  # a tree that had no links left is in no later round
         later = whole.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        whole = materialise(rounds.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "roots")
+        done = whole, rounds.pop()
+        whole = materialise(done[1].join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "roots")
+        discard(*done)
     least = whole.groupBy("root").agg(F.min("node").alias("label"))
-    return materialise(whole.join(least, "root").select("node", "label"), "labels")
+    labels = materialise(whole.join(least, "root").select("node", "label"), "labels")
+    discard(whole, live)
+    return labels

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, id_text, materialise, read_table, slices
+from .common import bound_arrow_batches, discard, id_text, materialise, read_table, slices
 from .components import connected_components
 
 PERMUTATIONS = 135
@@ -248,14 +248,16 @@ def settle_bands(rows: DataFrame) -> DataFrame:
 def clusters_of(reps: DataFrame) -> DataFrame:
     """node, label (of its cluster) for each class that shares a band with a class like it."""
     banded = reps.select(F.explode("bands").alias("band"), F.col("rep").alias("id"))
-    several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # joins of tables that grow with the corpus are sort-merge joins at every size
+    several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").hint("merge")
     planes = reps.select(F.col("rep").alias("id"), *PLANES)
-    open_ = materialise(banded.join(several, "band", "left_semi").join(planes, "id"), "bands")
-    edges: list[DataFrame] = []
+    open_ = materialise(banded.join(several, "band", "left_semi").join(planes.hint("merge"), "id"), "bands")
+    edges, stored = [], [open_]
     while True:
         first = open_.groupBy("band").agg(F.min(F.struct("id", *PLANES)).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "c")
-        measured = open_.select("band", "id", F.struct(*PLANES).alias("m")).join(first, "band").select("band", "id", "m", F.col("c.id").alias("centre"), differing("m", "c").alias("d"))
+        measured = open_.select("band", "id", F.struct(*PLANES).alias("m")).join(first.hint("merge"), "band").select("band", "id", "m", F.col("c.id").alias("centre"), differing("m", "c").alias("d"))
         measured = materialise(measured, "measured")
+        stored.append(measured)
         edges.append(measured.where((F.col("id") != F.col("centre")) & (F.col("d") <= SETTLED + DIFFER)).select(F.col("centre").alias("a"), F.col("id").alias("b")))
         open_ = measured.where(F.col("d") > SETTLED).select("band", "id", "m.*")
         most = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -263,7 +265,9 @@ def clusters_of(reps: DataFrame) -> DataFrame:
             break
     if most > 1:
         edges.append(settle_bands(open_))
-    return connected_components(reduce(DataFrame.unionByName, edges).distinct())
+    clusters = connected_components(reduce(DataFrame.unionByName, edges).distinct())
+    discard(*stored)
+    return clusters
 
 
 class Block:
@@ -407,7 +411,7 @@ def linked(texts: DataFrame, reps: DataFrame, words: int, threshold: int, block_
     large = placed.where("blocks > 1")
     some = large.limit(1).count() > 0
 
-    sets = full_sets(texts.join(placed, "doc_id").select("doc_id", "text", "cluster", "m", "blocks", "block"), words)
+    sets = full_sets(texts.join(placed.hint("merge"), "doc_id").select("doc_id", "text", "cluster", "m", "blocks", "block"), words)
     if not some:
         return materialise(compare_blocks(sets, threshold).distinct(), "labels")
     sets = materialise(sets.where(F.length("hashes") > 0), "sets")
@@ -460,7 +464,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = with_shared_ids(linked(texts, reps, words, threshold, block_rows), known, reps)
     set_key = ["f0", "f1", "n_shingles"]
     component = reps.join(labels, reps["rep"] == labels["node"], "left").select(*set_key, F.coalesce("label", "rep").alias("component"))
-    rows = profile.select("doc_id", "n_shingles", "f0", "f1").join(component, set_key, "left")
+    rows = profile.select("doc_id", "n_shingles", "f0", "f1").join(component.hint("merge"), set_key, "left")
     of = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", of.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
