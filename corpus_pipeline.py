@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import materialise, read_table
 from strandloom.llm.near_dedup import near_duplicates
 from strandloom.llm.packing import pack_pieces, tokenize_pieces
-from strandloom.llm.quality_model import classify_quality
+from strandloom.llm.quality_model import keep_documents
 from strandloom.llm.secrets import redact_secrets
 from strandloom.llm.substring_dedup import remove_repeats
 
@@ -24,7 +24,7 @@ REPEAT_BYTES = 100
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    return classify_quality(docs, read_table(spark, sf_dir, "labels"), carry=True).where("kept").select("row.*")
+    return keep_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +37,19 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier document has already; a document of which nothing is left goes."""
     out = remove_repeats(docs, length=REPEAT_BYTES, carry=True)
     same = F.size("spans") == 0
-    cut = out.withColumn("left", F.when(same, F.col("row.text")).otherwise(F.col("left"))).where(same | (F.trim("left") != ""))
-    changed = {"text": F.col("left"), "n_chars": F.when(same, F.col("row.n_chars")).otherwise(F.char_length("left").cast("long"))}
-    return cut.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    left = out.where(same | (F.trim("left") != ""))
+    changed = {"text": F.when(~F.col("row.no_text"), F.col("left"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.char_length("left")).cast(docs.schema["n_chars"].dataType)
+    return left.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their secrets masked."""
     clean = redact_secrets(docs)
-    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
