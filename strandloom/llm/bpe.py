@@ -9,9 +9,10 @@ of v's right spine, and is decided by its own right operand in turn. So
     F(r) = |v| + max(F(t) : t < r, left operand of t on the right spine of v while t is applied)
 
 symbols suffice, and the lookahead is the maximum of F. A token is emitted once that many symbols follow its
-end; what follows is a fresh input, since no merge crosses a boundary that lasts. Memory is a window of a
-constant number of symbols however long a word is. Short words are merged many at a time with array operations,
-longer ones in windows with a heap; both apply the lowest rank first and the leftmost among equals.
+end, or once its word has ended within the window; what follows is a fresh input, since no merge crosses a boundary
+that lasts. Memory is a window of a constant number of symbols however long a word is. Every pre-token goes through
+this transducer: the windows of many words are its lanes and are merged together with array operations, the lowest
+rank first and the leftmost among equals.
 
 Decoding joins vocabulary strings through a byte machine: bytes go in token by token, text comes out as soon as
 its UTF-8 is complete.
@@ -23,7 +24,6 @@ in the library's default; every row gets a result, repeated ids included; other
 from __future__ import annotations
 
 import codecs
-import heapq
 import json
 import unicodedata
 from bisect import bisect_left
@@ -40,8 +40,6 @@ from .common import bound_arrow_batches, id_text, read_table, slices
 
 #: Entries of a worker's cache; beyond that it becomes the older half, which is dropped in turn, so memory stays constant.
 CACHE_ENTRIES = 300_000
-#: Words of at most so many symbols are merged together with array operations.
-SHORT_SYMBOLS = 48
 NO_RANK = np.int32(2**31 - 1)
 END = "</w>"
 #: White space of the tokenizer's pattern syntax; Python's str.split() also splits at U+001C to U+001F.
@@ -67,9 +65,12 @@ class Merges:
         joined = [(a.removesuffix(suffix) if suffix else a) + b for a, b in pairs]
         self.made = np.array([vocab[x] for x in joined], np.int64)
         self.names = {i: x for x, i in vocab.items()}
-        self.by_pair = {(a, b): (r, m) for r, (a, b, m) in enumerate(zip(self.left.tolist(), self.right.tolist(), self.made.tolist(), strict=True))}
+        self.sizes = np.ones(max(self.names) + 1, np.int64)
+        for i in self.names:
+            self.sizes[i] = self.length(i)
         self._table()
         self.lookahead = self._lookahead()
+        self.window = 2 * (self.lookahead + self.longest)
 
     def length(self, token: int) -> int:
         name = self.names[token]
@@ -160,42 +161,62 @@ class Merges:
         order = np.argsort(owner, kind="stable")
         return tokens[order], owner[order]
 
-    def merge_window(self, symbols: list[int]) -> tuple[list[int], list[int]]:
-        """Merge one window with a heap: tokens, and the symbol at which each ends."""
-        n = len(symbols)
-        token, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(hit[0], i, symbols[i], symbols[i + 1], hit[1]) for i in range(n - 1) if (hit := self.by_pair.get((symbols[i], symbols[i + 1])))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i]
-            if token[i] != a or j >= n or token[j] != b:
-                continue
-            token[i], token[j], after[i] = made, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < n and (hit := self.by_pair.get((token[x], token[after[x]]))):
-                    heapq.heappush(heap, (hit[0], x, token[x], token[after[x]], hit[1]))
-        kept = [i for i in range(n) if token[i] != -1]
-        return [token[i] for i in kept], [after[i] for i in kept]
+    def step(self, symbols: np.ndarray, sizes: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One window of several words: the tokens that are stable, their words, and how many symbols each word is done with.
+
+        ``ended`` tells whether a word ends in its window; else a token is stable if ``lookahead`` symbols follow it.
+        """
+        tokens, lane = self.merge_many(symbols, np.repeat(np.arange(len(sizes)), sizes), len(sizes))
+        length = self.sizes[tokens]
+        total = np.cumsum(length)
+        end = total - (total - length)[np.searchsorted(lane, np.arange(len(sizes)))][lane]
+        stable = ended[lane] | (end + self.lookahead <= sizes[lane])
+        return tokens[stable], lane[stable], np.bincount(lane[stable], length[stable], len(sizes)).astype(np.int64)
+
+    def transduce(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of many words, window by window, and their words; no word is empty."""
+        ends = np.cumsum(sizes)
+        at, live = ends - sizes, np.arange(len(sizes))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(live):
+            stop = np.minimum(at[live] + self.window, ends[live])
+            n = stop - at[live]
+            held = symbols[np.repeat(at[live] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            ended = stop == ends[live]
+            tokens, lane, done = self.step(held, n, ended)
+            found.append((tokens, live[lane]))
+            at[live] += done
+            live = live[~ended]
+        tokens, owner = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (symbols, symbols)
+        order = np.argsort(owner, kind="stable")
+        return tokens[order], owner[order]
 
     def stream(self, symbols: Iterable[int]) -> Iterator[int]:
         """Tokens of one word as they become stable; at most a window of symbols is held."""
-        window = 4 * (self.lookahead + self.longest)
         held: list[int] = []
         for s in symbols:
             held.append(s)
-            if len(held) >= window:
-                tokens, ends = self.merge_window(held)
-                last = 0
-                for t, end in zip(tokens, ends, strict=True):
-                    if end + self.lookahead > len(held):
-                        break
-                    yield t
-                    last = end
-                held = held[last:]
-        yield from self.merge_window(held)[0]
+            if len(held) == self.window:
+                tokens, _, done = self.step(np.array(held, np.int64), np.array([len(held)]), np.array([False]))
+                yield from tokens.tolist()
+                held = held[int(done[0]) :]
+        if held:
+            yield from self.step(np.array(held, np.int64), np.array([len(held)]), np.array([True]))[0].tolist()
+
+
+#: What the encoder implements, as tokenizer files state it; the pattern of the split is a parameter.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
+
+def supported(spec: dict) -> None:
+    """Refuse a tokenizer file that asks for other steps than those done here."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    alike = len(steps) == 2 and all(steps[0].get(k) == v for k, v in SPLIT.items()) and all(steps[1].get(k) == v for k, v in BYTE_LEVEL.items())
+    plain = not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if spec["model"].get("type") != "BPE" or spec.get("normalizer") != NORMALIZER or not alike or not plain:
+        raise ValueError("this tokenizer's normaliser, pre-tokenizer or model is not supported")
 
 
 class Encoder:
@@ -204,6 +225,7 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        supported(spec)
         model = spec["model"]
         self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         symbols, vocab, suffix = byte_symbols(), model["vocab"], self.merges.suffix
@@ -225,33 +247,22 @@ class Encoder:
         return [x for x in _SPACE.split(text) if x] if _ODD_SPACE.search(text) else text.split()
 
     def _fill(self, chunks: list[str]) -> None:
-        """Ids of chunks that the cache lacks: all their short pre-tokens are merged together."""
-        inner, last, find = self.inner.tolist(), self.last.tolist(), self.pattern.findall
-        short, words, counts = [], [], []
+        """Ids of chunks that the cache lacks: all their pre-tokens go through the transducer together."""
+        find = self.pattern.findall
+        words, counts = [], []
         for c in chunks:
             found = [c] if c.isalpha() else find(c)
-            if len(c) * 4 > SHORT_SYMBOLS and any(len(w.encode("utf-8", "replace")) > SHORT_SYMBOLS for w in found):
-                ids: list[int] = []
-                for w in found:
-                    data = w.encode("utf-8", "replace")
-                    ids += self.merges.stream(last[x] if k == len(data) - 1 else inner[x] for k, x in enumerate(data))
-                self.chunks[c] = np.array(ids, "<u4").tobytes()
-            else:
-                short.append(c)
-                words += found
-                counts.append(len(found))
-        if not words:
-            self.chunks.update((c, b"") for c in short)
-            return
+            words += found
+            counts.append(len(found))
         raw = [w.encode("utf-8", "replace") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         codes = np.frombuffer(b"".join(raw), np.uint8)
         symbols, ends = self.inner[codes], np.cumsum(sizes) - 1
         symbols[ends] = self.last[codes[ends]]
-        tokens, owner = self.merges.merge_many(symbols, np.repeat(np.arange(len(raw)), sizes), len(raw))
+        tokens, owner = self.merges.transduce(symbols, sizes)
         cuts = (np.searchsorted(owner, np.append(0, np.cumsum(counts))) * 4).tolist()
         data = tokens.astype("<u4").tobytes()
-        self.chunks.update(zip(short, [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
+        self.chunks.update(zip(chunks, [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)], strict=True))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         pieces = [self.parts(t) for t in texts]
