@@ -2,15 +2,18 @@
 
 Documents become pieces of at most ``capacity`` tokens. The packer sees nothing but how many pieces there are of
 each length, a table of at most ``capacity`` rows however large the corpus is. On it a branch and bound runs: it
-takes the largest length left, enumerates the undominated fillings of the space beside it, applies a filling to
-as many bins as the counts allow, and prunes a branch when its bins so far and the lower bound of the rest, or
-its wasted space, cannot beat the incumbent. The first incumbent is best-fit decreasing. The result is a list of
-bin patterns with multiplicities. Each piece then finds its bin from its rank among the pieces of its length,
-which two-level counts give without bringing a length's pieces to one task.
-
-Defined cases: null text is an empty document, which is one token long (the separator); repeated ids and texts
-are documents of their own; a document longer than the capacity is cut, its first piece taking the remainder; an
-empty table gives no rows; other columns of the documents are ignored.
+takes the largest length left, enumerates the undominated fillings of the space beside it, best fit first, applies a
+filling to as many bins as the counts allow or to one, and prunes a branch when its bins so far and the lower bound
+of the rest, or its wasted space, cannot beat the incumbent. The first incumbent is best-fit decreasing. The search
+ends at the lower bound, when nothing is left to try (the incumbent is then the optimum), or after ``nodes`` fillings;
+``Completion.gap`` tells how far above the bound its result is. The result is a list of bin patterns with
+multiplicities. Each piece then finds its bin from its rank among the pieces of its length, which two-level counts
+give without bringing a length's pieces to one task.
+
+Defined cases: null text is an empty document, which is one token long (the separator); repeated and null ids and
+texts are documents of their own; a document longer than the capacity is cut, its first piece taking the remainder;
+an empty table gives no rows; other columns of the documents are ignored; of pieces, columns named sequence_id or
+offset are replaced, and a length that is null or not from 1 to the capacity raises a ValueError.
 """
 
 from __future__ import annotations
@@ -142,10 +145,10 @@ Patterns = list[tuple[tuple[int, ...], int]]
 class Completion:
     """Bin completion over a histogram of lengths."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 6):
+    def __init__(self, counts: dict[int, int], capacity: int, nodes: int = 4000):
         if any(not 0 < s <= capacity for s in counts):
             raise ValueError(f"lengths must be from 1 to {capacity}")
-        self.capacity, self.nodes, self.width = capacity, nodes, width
+        self.capacity, self.nodes, self.tried, self.gap = capacity, nodes, 0, 0
         self.counts = {s: c for s, c in counts.items() if c > 0}
         self.total = sum(s * c for s, c in self.counts.items())
 
@@ -167,40 +170,37 @@ class Completion:
             k = min(k - 1, bisect.bisect_right(sizes, room))
         return chosen
 
-    def fillings(self, sizes: list[int], left: dict[int, int], room: int) -> list[list[int]]:
-        """Undominated fillings of the room, least waste first, best fit among them."""
-        first = self.fill(sizes, left, room)
-        found: dict[tuple[int, ...], None] = {tuple(first): None}
-        budget = [60 * self.width]
-
-        def extend(chosen: list[int], used: Counter, room_left: int, limit: int) -> None:
-            budget[0] -= 1
-            k = bisect.bisect_right(sizes, min(limit, room_left))
-            grown = False
-            tried = 0
-            while k and budget[0] > 0 and tried < self.width:
-                s = sizes[k - 1]
-                if left[s] > used[s]:
-                    grown, tried = True, tried + 1
-                    used[s] += 1
-                    extend([*chosen, s], used, room_left - s, s)
-                    used[s] -= 1
-                k -= 1
-            if not grown and not self.dominated(chosen, sizes, left, room_left):
-                found[tuple(chosen)] = None
-
-        extend([], Counter(), room, room)
-        return [list(f) for f in sorted(found, key=lambda f: (room - sum(f), len(f), [-s for s in f]))[: self.width]]
-
-    def dominated(self, chosen: list[int], sizes: list[int], left: dict[int, int], slack: int) -> bool:
-        """Whether a length left could replace one item, or two by one at least as large, within the room."""
+    def fillings(self, left: dict[int, int], room: int) -> Iterator[list[int]]:
+        """All undominated fillings of the room, the first by best fit."""
+        sizes, left = sorted(s for s, c in left.items() if c), dict(left)  # a copy: the caller's changes between two fillings
+        chosen: list[int] = []
+        below = bisect.bisect_right(sizes, room)
+        while True:
+            while below and room:  # add the largest lengths that fit
+                s = sizes[below - 1]
+                if s <= room and left[s]:
+                    chosen.append(s)
+                    left[s] -= 1
+                    room -= s
+                below = min(below if s <= room and left[s] else below - 1, bisect.bisect_right(sizes, room))
+            self.tried += 1
+            if not self.dominated(chosen, sizes, left, room):
+                yield list(chosen)
+            if not chosen or self.tried >= self.nodes:
+                return
+            s = chosen.pop()
+            left[s] += 1
+            room += s
+            below = bisect.bisect_left(sizes, s)
+
+    def dominated(self, chosen: list[int], sizes: list[int], free: dict[int, int], slack: int) -> bool:
+        """Whether a free length could be added, replace one item, or replace two by one at least as large, within the room."""
+        there = lambda low, high: any(free[s] for s in sizes[bisect.bisect_left(sizes, low) : bisect.bisect_right(sizes, high)])
         used = Counter(chosen)
-        free = lambda low, high: any(left[s] > used[s] for s in sizes[bisect.bisect_left(sizes, low) : bisect.bisect_right(sizes, high)])
-        if slack and any(free(s + 1, s + slack) for s in used):
+        if slack and (there(1, slack) or any(there(s + 1, s + slack) for s in used)):
             return True
-        if len(chosen) > 8:
-            return False
-        return any(free(a + b, a + b + slack) for i, a in enumerate(chosen) for b in chosen[i + 1 :])
+        pairs = [a + b for a in used for b in used if a < b or a == b and used[a] > 1]
+        return any(there(x, x + slack) for x in pairs)
 
     def apply(self, left: dict[int, int], pattern: list[int]) -> int:
         need = Counter(pattern)
@@ -223,44 +223,51 @@ class Completion:
                     del sizes[bisect.bisect_left(sizes, s)]
         return out
 
+    def branches(self, left: dict[int, int]) -> Iterator[tuple[list[int], int]]:
+        """What can be done with the largest length left: a filling beside it, for as many bins as possible or for one."""
+        top = max(s for s, c in left.items() if c)
+        rest = {s: c - (s == top) for s, c in left.items()}
+        for f in self.fillings(rest, self.capacity - top):
+            pattern = [top, *f]
+            most = min(left[s] // n for s, n in Counter(pattern).items())
+            for times in dict.fromkeys((most, 1)):
+                yield pattern, times
+
     def solve(self) -> Patterns:
         best = self.best_fit()
         bins = sum(n for _, n in best)
         least = self.bound(self.counts)
-        seen = 0
+        used = waste = 0
         # one table of lengths left, changed in place; a frame holds what is still to be tried at its depth
         left, path = dict(self.counts), []
-        used = waste = 0
-        frames: list[list[list[int]]] = [[]]
-        enter = True
-        while frames and bins > least and seen < self.nodes:
-            if enter:
-                enter = False
-                seen += 1
-                sizes = sorted(s for s, c in left.items() if c)
-                if not sizes:
-                    best, bins = list(path), used
-                elif used + self.bound(left) < bins and waste <= (bins - 1) * self.capacity - self.total:
-                    top = sizes[-1]
-                    left[top] -= 1
-                    frames[-1] = [[top, *f] for f in reversed(self.fillings(sizes, left, self.capacity - top))]
-                    left[top] += 1
-            if frames[-1]:
-                pattern = frames[-1].pop()
-                times = self.apply(left, pattern)
-                path.append((tuple(pattern), times))
-                used, waste = used + times, waste + times * (self.capacity - sum(pattern))
-                frames.append([])
-                enter = True
-            else:
+        frames: list[Iterator[tuple[list[int], int]]] = [self.branches(left)] if left else []
+        while frames and bins > least and self.tried < self.nodes:
+            step = next(frames[-1], None)
+            if step is None:
                 frames.pop()
                 if path:
+                    self.use(left, path[-1], -1)
                     pattern, times = path.pop()
                     used, waste = used - times, waste - times * (self.capacity - sum(pattern))
-                    for s in pattern:
-                        left[s] += times
+                continue
+            pattern, times = step
+            self.use(left, (tuple(pattern), times), 1)
+            path.append((tuple(pattern), times))
+            used, waste = used + times, waste + times * (self.capacity - sum(pattern))
+            open_ = any(left.values())
+            if not open_ and used < bins:
+                best, bins = list(path), used
+            promising = open_ and used + self.bound(left) < bins and waste <= (bins - 1) * self.capacity - self.total
+            frames.append(self.branches(dict(left)) if promising else iter(()))
+        self.gap = bins - least
         return best
 
+    @staticmethod
+    def use(left: dict[int, int], step: tuple[tuple[int, ...], int], sign: int) -> None:
+        pattern, times = step
+        for s, n in Counter(pattern).items():
+            left[s] -= sign * n * times
+
 
 def placements(patterns: Patterns) -> dict[str, np.ndarray]:
     """Per length and pattern: the ranks it takes, and where they go. Sorted by length and first rank."""
@@ -284,40 +291,41 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "
     The pieces are written once, so that ranks stay the same if an executor is lost.
     """
     with_rest(pieces, length_col)
-    spark, wide = pieces.sparkSession, pieces.schema
-    names = wide.fieldNames()
-    at = names.index(length_col)
-    ranked_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide) + ", _part int, _nth long"
+    row = F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row")
+    rows = pieces.select(row, F.col(f"`{length_col}`").cast("long").alias("length"))
+    kind = rows.schema["row"].dataType.simpleString()
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
-            lengths = b.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = np.clip(b.column(1).fill_null(0).to_numpy(zero_copy_only=False), 0, capacity)  # wrong ones are refused below
             order = np.argsort(lengths, kind="stable")
             ordered = lengths[order]
             nth = np.empty(len(lengths), np.int64)
             nth[order] = np.arange(len(lengths)) - np.searchsorted(ordered, ordered) + seen[ordered]
             np.add.at(seen, lengths, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(nth)], names=[*names, "_part", "_nth"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(nth)], names=["row", "length", "part", "nth"])
 
-    ranked = materialise(pieces.mapInArrow(rank, ranked_schema), "pieces")
-    counts = ranked.groupBy("_part", F.col(f"`{length_col}`").cast("long").alias("_length")).agg(F.count(F.lit(1)).alias("n"))
-    total = {int(r["_length"]): int(r["n"]) for r in counts.groupBy("_length").agg(F.sum("n").alias("n")).collect()}
+    ranked = materialise(rows.mapInArrow(rank, f"row {kind}, length long, part int, nth long"), "pieces")
+    counts = ranked.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    total = {r["length"]: int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).limit(capacity + 3).collect()}
+    if any(s is None or not 0 < s <= capacity for s in total):
+        raise ValueError(f"lengths must be from 1 to {capacity}")
     where = placements(Completion(total, capacity, nodes).solve())
-    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = ranked.withColumn("_length", F.col(f"`{length_col}`").cast("long")).join(before, ["_part", "_length"])
-    ranked = ranked.select(*[F.col(f"`{n}`") for n in names], (F.col("_before") + F.col("_nth")).alias("_rank"))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranked = ranked.join(before, ["part", "length"]).select("row", "length", (F.col("before") + F.col("nth")).alias("rank"))
     key = where["length"] << 44 | where["rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths = b.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
-            ranks = b.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths, ranks = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             k = np.searchsorted(key, lengths << 44 | ranks, side="right") - 1
             bin_, slot = np.divmod(ranks - where["rank"][k], where["each"][k])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(where["base"][k] + bin_), pa.array(where["offset"][k] + slot * lengths)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(where["base"][k] + bin_), pa.array(where["offset"][k] + slot * lengths)], names=["row", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide) + ", sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, f"row {kind}, sequence_id long, offset long")
+    return placed.select(*[F.col(f"row.`{c}`").alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")], "sequence_id", "offset")
 
 
 def packed_sequences(packed: DataFrame) -> DataFrame:

@@ -75,7 +75,16 @@ def test_lookahead_and_streams():
     for _ in range(20):
         word = bytes(r.choice(b"aelnorst") for _ in range(r.randrange(1, 4000)))
         symbols = [int(e.inner[b]) for b in word[:-1]] + [int(e.last[word[-1]])]
-        assert list(e.merges.stream(iter(symbols))) == e.merges.merge_window(symbols)[0]
+        whole = e.merges.merge_many(np.array(symbols), np.zeros(len(symbols), np.int64), 1)[0].tolist()
+        assert list(e.merges.stream(iter(symbols))) == whole
+        assert e.merges.transduce(np.array([*symbols, *symbols]), np.array([len(symbols)] * 2))[0].tolist() == whole * 2
+    # a lookahead of nothing emits too early: the bound decides the result
+    e.merges.lookahead, e.merges.window = 0, e.merges.longest
+    texts = ["".join(r.choice("aelnorst") for _ in range(400)) for _ in range(20)]
+    ids = [Tokenizer.from_file(WORD_BPE).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_many(texts)] != ids
+    with pytest.raises(ValueError, match="not supported"):
+        Encoder(BYTE_BPE)
     with pytest.raises(ValueError, match="later merge"):
         Merges({"a": 0, "b": 1, "ab": 2, "aba": 3}, [["ab", "a"], ["a", "b"]], "")
 
@@ -111,6 +120,45 @@ def test_packing(spark):
     assert PK.pack_pieces(PK.tokenize_pieces(documents(spark, []), BYTE_BPE)).count() == 0
 
 
+def fewest_bins(sizes, capacity):
+    """By force: each size goes into every open bin and into a new one."""
+    best = len(sizes)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(sizes):
+            best = len(room)
+            return
+        for i in {x: i for i, x in enumerate(room) if x >= sizes[k]}.values():
+            place(k + 1, [x - sizes[k] * (j == i) for j, x in enumerate(room)])
+        place(k + 1, [*room, capacity - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_completion_equals_force():
+    r = random.Random(4)
+    for _ in range(120):
+        sizes = sorted((r.randrange(1, 20) for _ in range(r.randrange(1, 11))), reverse=True)
+        solver = PK.Completion({x: sizes.count(x) for x in sizes}, 20, nodes=200_000)
+        found = solver.solve()
+        assert sorted((x for f, n in found for x in f * n), reverse=True) == sizes
+        assert all(sum(f) <= 20 for f, _ in found)
+        assert sum(n for _, n in found) == fewest_bins(sizes, 20)
+
+
+def test_pieces_with_clashing_names_and_wrong_lengths(spark):
+    rows = spark.createDataFrame([(1, 5, 9, 0, "x"), (None, 3, 8, 1, None)], "sequence_id long, length int, offset long, part int, row string")
+    out = PK.pack_pieces(rows, 8)
+    assert sorted(out.columns) == sorted(rows.columns) and {(r.sequence_id, r.offset, r.part) for r in out.collect()} == {(0, 0, 0), (0, 5, 1)}
+    for wrong in ("NULL", "0", "9"):
+        with pytest.raises(ValueError):
+            PK.pack_pieces(rows.selectExpr(f"CAST({wrong} AS INT) AS length"), 8)
+
+
 def test_completion_reaches_small_optima():
     best = PK.Completion({6: 2, 5: 2, 4: 2, 3: 2, 2: 4}, 11).solve()
     assert sum(n for _, n in best) == 4  # 6+5, 6+5, 4+4+3, 3+2+2+2+2
