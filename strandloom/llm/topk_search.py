@@ -1,48 +1,48 @@
-"""Exact top-k BM25 search over a sharded inverted index with block-max pruning.
-
-Documents are indexed shard by shard, a shard being what a task gathers up to ``shard_bytes`` of text: terms with
-their postings in order of documents; frequent terms also carry the greatest impact in each block of ``BLOCK``
-documents. Lengths
-and document frequencies are summed over all shards, so that every shard scores with the same statistics and the
-merged lists are the exact answer.
-
-A query runs in a shard as block-max WAND in batches. The lists of rare terms are scored whole, which is cheap; the
-k-th best score is the threshold. Lists of frequent terms follow in falling order of their bounds until the bounds
-of the rest stay below the threshold together: no document that has only those can be found any more. For the
-others each block of documents has the greatest impact of each list left; a document whose score and its block's
-bound stay below the threshold is skipped, the rest are scored in full. Nothing that could reach the first k is
-skipped, ties included.
-
-Queries are a table of their own in the shared folder; each shard's task streams it in blocks, so neither all
-queries nor all documents are ever held in one place.
-
-Defined cases: null or empty texts are documents without terms, never found; a query without terms finds nothing;
-rows that share an id are separate documents, and one query with their terms together; a null id is not found and
-asks nothing; fewer than k matches give fewer rows; ties go to the smaller id; an empty table gives no rows; other
-columns are ignored.
+"""Exact top-k BM25 search over a sharded inverted index with block-max WAND pruning.
+
+Documents are indexed shard by shard, a shard being what a task gathers up to ``shard_bytes`` of text or
+``SHARD_ROWS`` documents: terms with their postings in order of documents, cut into blocks of ``BLOCK`` documents;
+every block of every list has its greatest impact. Lengths and document frequencies are summed over all shards, so
+that every shard scores with the same statistics and the merged lists are the exact answer.
+
+A query runs in a shard as block-max WAND over document blocks: the sum of its lists' block maxima bounds what any
+document of a block can score. Blocks are taken in falling order of that bound, some at a time; the k-th best score
+so far is the threshold, and the pivot is the first block whose bound is below it: that block and all after it are
+skipped with their postings. The others are scored in full, from the postings inside them only. Nothing that could
+reach the first k is skipped, ties included.
+
+Shards and queries lie in the shared folder. A task takes one shard and one chunk of at most ``CHUNK_ROWS`` queries,
+so its work does not grow with the corpus; the number of tasks does, with its square, as every query meets every
+shard.
+
+Defined cases: null or empty texts are documents without terms, never found; a very long text is a shard of its own;
+a query without terms finds nothing; rows that share an id are separate documents, and one query with their terms
+together; a null id is not found and asks nothing; fewer than k matches give fewer rows; ties go to the smaller id;
+an empty table of documents or queries gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_arrow_batches, id_text, materialise, new_path, read_table, slices
-from .substring_dedup import pack, unpack
+from .substring_dedup import first_of_runs, pack, unpack
 from .warc import open_fs
 
 K1, B = 1.2, 0.75
-BLOCK = 64
-#: A term is frequent if more than one in so many documents of a shard has it; so many terms at most are.
-DENSE_PART, DENSE_ROWS = 16, 256
-SHARD_BYTES = 32 << 20
-QUERY_ROWS = 64
+#: Documents of a block; the smaller, the tighter its bound.
+BLOCK = 16
+SHARD_BYTES, SHARD_ROWS = 32 << 20, 1 << 16
+CHUNK_ROWS = 512
 #: Scores are compared with this slack and reported to six decimals, so that the order of sums does not matter.
 SLACK = 1e-6
 STRIP = b".,;:!?\"'()[]{}"
@@ -72,9 +72,12 @@ def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return term[at], owner[at], np.diff(np.append(at, len(term)))
 
 
-def build_shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """One row per shard: documents, total length, terms with their document frequencies, postings."""
-    schema = "n_docs long, total long, terms array<long>, df array<long>, postings binary"
+def build_shards(docs: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
+    """One row per shard: documents, total length, terms with their document frequencies, and the file of its postings.
+
+    A file has a fresh name, so that only files of tasks that succeeded are listed.
+    """
+    schema = "n_docs long, total long, terms array<long>, df array<long>, name string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -88,13 +91,18 @@ def build_shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
             df = np.diff(np.append(at, len(term)))
             blob = pack(np.array(ids, np.int64), length, term[at], at, owner.astype(np.uint32), count.astype(np.uint32))
             lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(x)) for x in (term[at].view(np.int64), df.astype(np.int64))]
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int(length.sum())]), *lists, pa.array([blob], pa.binary())], names=["n_docs", "total", "terms", "df", "postings"])
+            files, base = open_fs(folder)
+            files.create_dir(base, recursive=True)
+            name = uuid.uuid4().hex
+            with files.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(blob)
+            return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int(length.sum())]), *lists, pa.array([name])], names=["n_docs", "total", "terms", "df", "name"])
 
         for part in slices(batches):
             ids += part.column(0).to_pylist()
             texts += part.column(1).cast(pa.binary()).to_pylist()
             size = sum(map(len, texts)) if size == 0 else size + sum(map(len, texts[-part.num_rows :]))
-            if size >= shard_bytes:
+            if size >= shard_bytes or len(ids) >= SHARD_ROWS:
                 yield emit()
                 ids, texts, size = [], [], 0
         if ids:
@@ -124,82 +132,88 @@ class Shard:
         self.docs = self.docs.astype(np.int64)
         norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
         self.impact = count * (K1 + 1) / (count + norm[self.docs])
-        self.ends = np.append(self.at[1:], len(self.docs))
-        # blocks never span two terms: their starts are the terms' starts and every BLOCK postings after
-        self.term_max = np.maximum.reduceat(self.impact, self.at) if len(self.at) else np.zeros(0)
-        # lists of frequent terms also lie as rows over all documents, in blocks of BLOCK documents
-        n = len(self.ids)
-        frequent = np.flatnonzero(self.ends - self.at > max(16, n // DENSE_PART))
-        frequent = frequent[np.argsort(self.at[frequent] - self.ends[frequent], kind="stable")][:DENSE_ROWS]
-        self.row_of = np.full(len(self.terms), -1)
-        self.row_of[frequent] = np.arange(len(frequent))
-        blocks = max(1, -(-n // BLOCK))
-        self.rows = np.zeros((len(frequent), blocks * BLOCK), np.float64)
-        for r, t in enumerate(frequent.tolist()):
-            self.rows[r, self.docs[self.at[t] : self.ends[t]]] = self.impact[self.at[t] : self.ends[t]]
-        self.block_max = self.rows.reshape(len(frequent), blocks, BLOCK).max(2) if len(frequent) else np.zeros((0, blocks))
-
-    def add_lists(self, score: np.ndarray, t: np.ndarray, w: np.ndarray) -> None:
-        """Add whole lists to the scores."""
-        sizes = self.ends[t] - self.at[t]
-        take = np.repeat(self.at[t] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        score += np.bincount(self.docs[take], np.repeat(w, sizes) * self.impact[take], len(score))
+        self.blocks = -(-len(self.ids) // BLOCK)
+        # a run is a list's postings in one block of documents
+        term = np.repeat(np.arange(len(self.terms)), np.diff(np.append(self.at, len(self.docs))))
+        block = self.docs // BLOCK
+        self.run_at = np.flatnonzero(first_of_runs(term, block))
+        self.run_size = np.diff(np.append(self.run_at, len(self.docs)))
+        self.run_block = block[self.run_at]
+        self.run_max = np.maximum.reduceat(self.impact, self.run_at) if len(self.run_at) else np.zeros(0)
+        self.first_run = np.searchsorted(self.run_at, self.at)
+        self.runs = np.diff(np.append(self.first_run, len(self.run_at)))
+
+    def bounds(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The lists' runs, their weights, and the bound of each block."""
+        n = self.runs[t]
+        run = np.repeat(self.first_run[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        weight = np.repeat(w, n)
+        return run, weight, np.bincount(self.run_block[run], weight * self.run_max[run], self.blocks)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of at most k documents that are best in this shard; terms ascend."""
-        none = np.zeros(0, np.int64), np.zeros(0)
+        best, scores = np.zeros(0, np.int64), np.zeros(0)
         if not len(self.terms):
-            return none
+            return best, scores
         where = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         hit = (self.terms[where] == terms) & (weights > 0)
-        t, w = where[hit], weights[hit]
-        if not len(t):
-            return none
-        n, row = len(self.ids), self.row_of[t]
-        score = np.zeros(n)
-        if (row < 0).any():
-            self.add_lists(score, t[row < 0], w[row < 0])
-        t, w, row = t[row >= 0], w[row >= 0], row[row >= 0]
-        order = np.argsort(-w * self.term_max[t], kind="stable")
-        t, w, row = t[order], w[order], row[order]
-        after = np.append(np.cumsum((w * self.term_max[t])[::-1])[::-1], 0.0)  # bound of the lists from here on
-        kth = lambda: float(np.partition(score, n - k)[n - k]) if n > k else 0.0
-        at, threshold = 0, kth()
-        while at < len(t) and after[at] >= threshold - SLACK:
-            # the lists from here on could still lift a document that has none of those before: score some whole
-            stop = max(at + 1, int(np.searchsorted(-after, -max(threshold, after[at] / 2), side="left")))
-            self.add_lists(score, t[at:stop], w[at:stop])
-            at, threshold = stop, kth()
-        alive = np.flatnonzero((score > 0) & (score + after[at] >= threshold - SLACK))
-        if at < len(t) and len(alive):
-            # what is left of the lists, bounded block by block; then exactly for the documents that stay
-            reach = w[at:] @ self.block_max[row[at:]]
-            alive = alive[score[alive] + reach[alive // BLOCK] >= threshold - SLACK]
-            score[alive] += w[at:] @ self.rows[np.ix_(row[at:], alive)]
-        exact = np.round(score[alive], 6)
-        best = np.lexsort((self.ids[alive], -exact))[:k]
-        return self.ids[alive][best], exact[best]
+        if not hit.any():
+            return best, scores
+        run, weight, bound = self.bounds(where[hit], weights[hit])
+        order = np.argsort(-bound, kind="stable")
+        falling = bound[order]
+        place = np.empty(self.blocks, np.int64)
+        place[order] = np.arange(self.blocks)
+        at, step, threshold = 0, max(8, 2 * k // BLOCK), 0.0
+        turn = place[self.run_block[run]]
+        while True:
+            # the pivot: blocks from here on cannot reach the threshold
+            pivot = int(np.searchsorted(-falling, -max(threshold - SLACK, 1e-300), side="right"))
+            if at >= pivot:
+                return best, scores
+            stop = min(pivot, at + step)
+            here = np.flatnonzero((turn >= at) & (turn < stop))
+            r, size = run[here], self.run_size[run[here]]
+            take = np.repeat(self.run_at[r] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            cell = np.repeat((turn[here] - at) * BLOCK, size) + self.docs[take] % BLOCK
+            sums = np.bincount(cell, np.repeat(weight[here], size) * self.impact[take], (stop - at) * BLOCK)
+            good = np.flatnonzero(sums >= max(threshold - SLACK, 1e-300))
+            found = np.append(best, self.ids[order[at + good // BLOCK] * BLOCK + good % BLOCK])
+            exact = np.append(scores, np.round(sums[good], 6))
+            keep = np.lexsort((found, -exact))[:k]
+            best, scores = found[keep], exact[keep]
+            threshold = float(scores[-1]) if len(scores) == k else 0.0
+            at, step = stop, 2 * step
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents of each query by BM25."""
     spark = docs.sparkSession
     bound_arrow_batches(spark, 1000)
-    shards = materialise(build_shards(id_text(docs, id_col, text_col), shard_bytes), "shards")
+    folder = new_path(spark, "postings")
+    shards = materialise(build_shards(id_text(docs, id_col, text_col), folder, shard_bytes), "shards")
     n, total = shards.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     frequency = shards.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy("x.terms").agg(F.sum("x.df").alias("df")).withColumnRenamed("terms", "term")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = query_terms(id_text(queries, id_col, text_col)).join(frequency, "term").select("query_id", F.struct("term", (F.col("n") * idf).alias("weight")).alias("t"))
+    asked = query_terms(id_text(queries, id_col, text_col)).join(frequency.hint("merge"), "term").select("query_id", F.struct("term", (F.col("n") * idf).alias("weight")).alias("t"))
+    # ids with a term are counted first, so that chunks have CHUNK_ROWS of them on the average
+    lists = materialise(asked.groupBy("query_id").agg(F.collect_list("t").alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")), "asked")
+    chunks = max(1, -(-lists.count() // CHUNK_ROWS))
     path = new_path(spark, "queries")
-    asked.groupBy("query_id").agg(F.collect_list("t").alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights")).write.parquet(path)
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int")
+    lists.withColumn("chunk", chunk).repartition(chunks, "chunk").write.partitionBy("chunk").parquet(path)
     mean = total / n if n else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blob in b.column(0):
-                shard = Shard(blob.as_py(), mean)
-                files, inner = open_fs(path)
-                for block in ds.dataset(inner, filesystem=files, format="parquet").to_batches(batch_size=QUERY_ROWS):
+            for name, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                files, base = open_fs(folder)
+                with files.open_input_stream(f"{base}/{name}", compression=None) as held:
+                    shard = Shard(held.read(), mean)
+                files, inner = open_fs(f"{path}/chunk={part}")
+                if files.get_file_info(inner).type == fs.FileType.NotFound:  # no query has this number
+                    continue
+                for block in ds.dataset(inner, filesystem=files, format="parquet").to_batches(batch_size=64):
                     found: list[tuple] = [], [], []
                     for q, terms, weights in zip(block.column(0).to_pylist(), block.column(1), block.column(2), strict=True):
                         terms, weights = terms.values.to_numpy().view(np.uint64), weights.values.to_numpy()
@@ -210,8 +224,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
                         found[2].extend(scores.tolist())
                     yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "doc_id", "score"])
 
-    tasks = max(1, shards.count())
-    found = shards.select("postings").repartition(min(tasks, 20_000)).mapInArrow(run, "query_id long, doc_id long, score double")
+    tasks = shards.select("name", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("part"))
+    found = tasks.repartition(min(max(1, shards.count() * chunks), 20_000)).mapInArrow(run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
