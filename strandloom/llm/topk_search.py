@@ -5,11 +5,12 @@ Documents are indexed shard by shard, a shard being what a task gathers up to ``
 every block of every list has its greatest impact. Lengths and document frequencies are summed over all shards, so
 that every shard scores with the same statistics and the merged lists are the exact answer.
 
-A query runs in a shard as block-max WAND over document blocks: the sum of its lists' block maxima bounds what any
-document of a block can score. Blocks are taken in falling order of that bound, some at a time; the k-th best score
-so far is the threshold, and the pivot is the first block whose bound is below it: that block and all after it are
-skipped with their postings. The others are scored in full, from the postings inside them only. Nothing that could
-reach the first k is skipped, ties included.
+A query runs in a shard as block-max WAND, with arrays instead of one cursor per list. Lists are taken in falling
+order of the greatest score they can add, as the pivot rule orders them, and the k-th best sum so far is the threshold.
+The pivot is the first list from which on all lists together stay below the threshold: a document that none of the
+lists before it has cannot be found any more. For the others the lists from the pivot on are bounded by their block
+maxima; documents whose sum and block bound stay below the threshold are skipped, and of the lists' postings only the
+blocks with documents left are read. Nothing that could reach the first k is skipped, ties included.
 
 Shards and queries lie in the shared folder. A task takes one shard and one chunk of at most ``CHUNK_ROWS`` queries,
 so its work does not grow with the corpus; the number of tasks does, with its square, as every query meets every
@@ -39,8 +40,8 @@ from .substring_dedup import first_of_runs, pack, unpack
 from .warc import open_fs
 
 K1, B = 1.2, 0.75
-#: Documents of a block; the smaller, the tighter its bound.
-BLOCK = 16
+#: Documents of a block.
+BLOCK = 64
 SHARD_BYTES, SHARD_ROWS = 32 << 20, 1 << 16
 CHUNK_ROWS = 512
 #: Scores are compared with this slack and reported to six decimals, so that the order of sums does not matter.
@@ -132,9 +133,10 @@ class Shard:
         self.docs = self.docs.astype(np.int64)
         norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
         self.impact = count * (K1 + 1) / (count + norm[self.docs])
+        self.df = np.diff(np.append(self.at, len(self.docs)))
         self.blocks = -(-len(self.ids) // BLOCK)
         # a run is a list's postings in one block of documents
-        term = np.repeat(np.arange(len(self.terms)), np.diff(np.append(self.at, len(self.docs))))
+        term = np.repeat(np.arange(len(self.terms)), self.df)
         block = self.docs // BLOCK
         self.run_at = np.flatnonzero(first_of_runs(term, block))
         self.run_size = np.diff(np.append(self.run_at, len(self.docs)))
@@ -143,47 +145,59 @@ class Shard:
         self.first_run = np.searchsorted(self.run_at, self.at)
         self.runs = np.diff(np.append(self.first_run, len(self.run_at)))
 
-    def bounds(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The lists' runs, their weights, and the bound of each block."""
-        n = self.runs[t]
-        run = np.repeat(self.first_run[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        weight = np.repeat(w, n)
-        return run, weight, np.bincount(self.run_block[run], weight * self.run_max[run], self.blocks)
+        self.term_max = np.maximum.reduceat(self.impact, self.at) if len(self.at) else np.zeros(0)
+
+    @staticmethod
+    def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of ranges, one after the other."""
+        return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+    def add_runs(self, score: np.ndarray, run: np.ndarray, weight: np.ndarray) -> None:
+        """Add the postings of runs to their documents' scores."""
+        size = self.run_size[run]
+        take = self.spread(self.run_at[run], size)
+        score += np.bincount(self.docs[take], np.repeat(weight, size) * self.impact[take], len(score))
+
+    def add_lists(self, score: np.ndarray, t: np.ndarray, w: np.ndarray) -> None:
+        size = self.df[t]
+        take = self.spread(self.at[t], size)
+        score += np.bincount(self.docs[take], np.repeat(w, size) * self.impact[take], len(score))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of at most k documents that are best in this shard; terms ascend."""
-        best, scores = np.zeros(0, np.int64), np.zeros(0)
+        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(self.terms):
-            return best, scores
+            return none
         where = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         hit = (self.terms[where] == terms) & (weights > 0)
         if not hit.any():
-            return best, scores
-        run, weight, bound = self.bounds(where[hit], weights[hit])
-        order = np.argsort(-bound, kind="stable")
-        falling = bound[order]
-        place = np.empty(self.blocks, np.int64)
-        place[order] = np.arange(self.blocks)
-        at, step, threshold = 0, max(8, 2 * k // BLOCK), 0.0
-        turn = place[self.run_block[run]]
-        while True:
-            # the pivot: blocks from here on cannot reach the threshold
-            pivot = int(np.searchsorted(-falling, -max(threshold - SLACK, 1e-300), side="right"))
-            if at >= pivot:
-                return best, scores
-            stop = min(pivot, at + step)
-            here = np.flatnonzero((turn >= at) & (turn < stop))
-            r, size = run[here], self.run_size[run[here]]
-            take = np.repeat(self.run_at[r] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            cell = np.repeat((turn[here] - at) * BLOCK, size) + self.docs[take] % BLOCK
-            sums = np.bincount(cell, np.repeat(weight[here], size) * self.impact[take], (stop - at) * BLOCK)
-            good = np.flatnonzero(sums >= max(threshold - SLACK, 1e-300))
-            found = np.append(best, self.ids[order[at + good // BLOCK] * BLOCK + good % BLOCK])
-            exact = np.append(scores, np.round(sums[good], 6))
-            keep = np.lexsort((found, -exact))[:k]
-            best, scores = found[keep], exact[keep]
-            threshold = float(scores[-1]) if len(scores) == k else 0.0
-            at, step = stop, 2 * step
+            return none
+        t, w = where[hit], weights[hit]
+        order = np.argsort(-w * self.term_max[t], kind="stable")
+        t, w = t[order], w[order]
+        after = np.append(np.cumsum((w * self.term_max[t])[::-1])[::-1], 0.0)  # what the lists from here on can add
+        n = len(self.ids)
+        score = np.zeros(n)
+        kth = lambda: float(np.partition(score, n - k)[n - k]) if n > k else 0.0
+        pivot, threshold = 0, 0.0
+        while pivot < len(t) and after[pivot] >= threshold - SLACK:
+            stop = max(pivot + 1, int(np.searchsorted(-after, -max(threshold, after[pivot] / 2), side="left")))
+            self.add_lists(score, t[pivot:stop], w[pivot:stop])
+            pivot, threshold = stop, kth()
+        alive = np.flatnonzero((score > 0) & (score + after[pivot] >= threshold - SLACK))
+        if pivot < len(t) and len(alive):
+            size = self.runs[t[pivot:]]
+            run, weight = self.spread(self.first_run[t[pivot:]], size), np.repeat(w[pivot:], size)
+            block = self.run_block[run]
+            reach = np.bincount(block, weight * self.run_max[run], self.blocks)
+            alive = alive[score[alive] + reach[alive // BLOCK] >= threshold - SLACK]
+            open_ = np.zeros(self.blocks, bool)
+            open_[alive // BLOCK] = True
+            some = np.flatnonzero(open_[block])
+            self.add_runs(score, run[some], weight[some])
+        exact = np.round(score[alive], 6)
+        best = np.lexsort((self.ids[alive], -exact))[:k]
+        return self.ids[alive][best], exact[best]
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
