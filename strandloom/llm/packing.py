@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import bisect
 import json
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -171,10 +172,13 @@ class Completion:
         return chosen
 
     def fillings(self, left: dict[int, int], room: int) -> Iterator[list[int]]:
-        """All undominated fillings of the room, the first by best fit."""
-        sizes, left = sorted(s for s, c in left.items() if c), dict(left)  # a copy: the caller's changes between two fillings
+        """All undominated fillings of the room, the first by best fit.
+
+        ``left`` is changed while a filling is made, and is as the caller left it whenever one is handed over.
+        """
+        sizes = array("i", sorted(s for s, c in left.items() if c and s <= room))
         chosen: list[int] = []
-        below = bisect.bisect_right(sizes, room)
+        below = len(sizes)
         while True:
             while below and room:  # add the largest lengths that fit
                 s = sizes[below - 1]
@@ -185,15 +189,21 @@ class Completion:
                 below = min(below if s <= room and left[s] else below - 1, bisect.bisect_right(sizes, room))
             self.tried += 1
             if not self.dominated(chosen, sizes, left, room):
+                for s in chosen:
+                    left[s] += 1
                 yield list(chosen)
+                for s in chosen:
+                    left[s] -= 1
             if not chosen or self.tried >= self.nodes:
+                for s in chosen:
+                    left[s] += 1
                 return
             s = chosen.pop()
             left[s] += 1
             room += s
             below = bisect.bisect_left(sizes, s)
 
-    def dominated(self, chosen: list[int], sizes: list[int], free: dict[int, int], slack: int) -> bool:
+    def dominated(self, chosen: list[int], sizes: Sequence[int], free: dict[int, int], slack: int) -> bool:
         """Whether a free length could be added, replace one item, or replace two by one at least as large, within the room."""
         there = lambda low, high: any(free[s] for s in sizes[bisect.bisect_left(sizes, low) : bisect.bisect_right(sizes, high)])
         used = Counter(chosen)
@@ -226,12 +236,15 @@ class Completion:
     def branches(self, left: dict[int, int]) -> Iterator[tuple[list[int], int]]:
         """What can be done with the largest length left: a filling beside it, for as many bins as possible or for one."""
         top = max(s for s, c in left.items() if c)
-        rest = {s: c - (s == top) for s, c in left.items()}
-        for f in self.fillings(rest, self.capacity - top):
+        left[top] -= 1
+        for f in self.fillings(left, self.capacity - top):
+            left[top] += 1
             pattern = [top, *f]
             most = min(left[s] // n for s, n in Counter(pattern).items())
             for times in dict.fromkeys((most, 1)):
                 yield pattern, times
+            left[top] -= 1
+        left[top] += 1
 
     def solve(self) -> Patterns:
         best = self.best_fit()
@@ -258,7 +271,7 @@ class Completion:
             if not open_ and used < bins:
                 best, bins = list(path), used
             promising = open_ and used + self.bound(left) < bins and waste <= (bins - 1) * self.capacity - self.total
-            frames.append(self.branches(dict(left)) if promising else iter(()))
+            frames.append(self.branches(left) if promising else iter(()))
         self.gap = bins - least
         return best
 
