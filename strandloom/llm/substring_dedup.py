@@ -322,36 +322,51 @@ class SuffixArray:
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int):
         self.text, self.starts, self.docs, self.length = text, starts, docs, length
+        windows = np.lib.stride_tricks.sliding_window_view(text, length)
+        # strings of fixed length drop zero bytes at their end, so each gets a closing byte
+        held = np.ones((len(starts), length + 1), np.uint8)
+        held[:, :length] = windows[starts]
+        self.keys = held.view(f"S{length + 1}")[:, 0]
+        self.heads = first_bytes(text, starts, length)
 
     @classmethod
-    def of(cls, text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> SuffixArray:
-        """Order suffixes by their bytes, eight at a time from the last; each start has ``length`` bytes of text."""
-        wide = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)
+    def of(cls, text: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int) -> tuple[SuffixArray, np.ndarray]:
+        """Order suffixes by their bytes, eight at a time from the last; each start has ``length`` bytes. Also each start's place."""
         cuts = [*range(0, max(1, length - 7), 8), *([length - 8] if length > 8 and length % 8 else [])]
-        blocks = [np.ascontiguousarray(wide[starts + c]).view(">u8")[:, 0].astype(np.uint64) for c in cuts]
-        if length < 8:
-            blocks = [blocks[0] >> np.uint64(8 * (8 - length))]
+        blocks = [first_bytes(text, starts + c, length - c) for c in cuts]
         order = np.lexsort((docs, *blocks[::-1]))
         new = first_of_runs(*(x[order] for x in blocks))
-        return cls(text, starts[order][new], docs[order][new], length)
+        place = np.empty(len(starts), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return cls(text, starts[order][new], docs[order][new], length), place
+
+    def places(self, other: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
+        """A merge scan: where each suffix of the other array comes in this one, and whether it is there.
+
+        The first eight bytes tell the place of most; the others are looked for among all bytes.
+        """
+        at = np.searchsorted(self.heads, other.heads)
+        near = np.flatnonzero(self.heads[np.minimum(at, len(self.heads) - 1)] == other.heads)
+        at[near] = np.searchsorted(self.keys, other.keys[near])
+        there = np.zeros(len(at), bool)
+        there[near] = self.keys[np.minimum(at[near], len(self.keys) - 1)] == other.keys[near]
+        return at, there
 
-    def keys(self) -> np.ndarray:
-        windows = np.lib.stride_tricks.sliding_window_view(self.text, self.length)
-        return np.ascontiguousarray(windows[self.starts]).view(f"V{self.length}")[:, 0]
+    def joined(self, other: SuffixArray) -> SuffixArray:
+        """Both arrays merged; a suffix of both keeps its first document."""
+        at, there = self.places(other)
+        docs = self.docs.copy()
+        docs[at[there]] = np.minimum(docs[at[there]], other.docs[there])
+        fresh = ~there
+        starts = np.insert(self.starts, at[fresh], other.starts[fresh] + len(self.text))
+        return SuffixArray(np.append(self.text, other.text), starts, np.insert(docs, at[fresh], other.docs[fresh]), self.length)
 
-    def merged(self, other: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
-        """The order of both arrays' suffixes, own ones first, and where equal ones begin: two sorted runs are merged."""
-        both = np.concatenate([self.keys(), other.keys()]).view(np.uint8).reshape(-1, self.length)
-        # strings of fixed length drop zero bytes at their end, so each gets a closing byte
-        closed = np.append(both, np.ones((len(both), 1), np.uint8), axis=1).view(f"S{self.length + 1}")[:, 0]
-        order = np.argsort(closed, kind="stable")
-        return order, first_of_runs(closed[order])
 
-    def joined(self, other: SuffixArray) -> SuffixArray:
-        order, new = self.merged(other)
-        docs = np.append(self.docs, other.docs)[order]
-        starts = np.append(self.starts, other.starts + len(self.text))[order][new]
-        return SuffixArray(np.append(self.text, other.text), starts, np.minimum.reduceat(docs, np.flatnonzero(new)), self.length)
+def first_bytes(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The first eight bytes from each start, or ``length`` if that is less, as numbers in the order of the bytes."""
+    padded = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)
+    numbers = np.ascontiguousarray(padded[starts]).view(">u8")[:, 0].astype(np.uint64)
+    return numbers >> np.uint64(8 * max(0, 8 - length))
 
 
 class SuffixLevels:
@@ -362,33 +377,25 @@ class SuffixLevels:
 
     def scan(self, mine: SuffixArray) -> np.ndarray:
         """The first document that has each suffix of the batch, over all levels and the batch, by merge scans."""
-        least = mine.docs
+        least = mine.docs.copy()
         for level in self.levels:
-            order, new = level.merged(mine)
-            first = np.minimum.reduceat(np.append(level.docs, least)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-            own = order >= len(level.docs)
-            seen = np.empty_like(least)
-            seen[order[own] - len(level.docs)] = first[own]
-            least = seen
+            at, there = level.places(mine)
+            least[there] = np.minimum(least[there], level.docs[at[there]])
         return least
 
-    def add(self, array: SuffixArray) -> None:
-        while self.levels and len(self.levels[-1].starts) <= 2 * len(array.starts):
-            array = self.levels.pop().joined(array)
-        self.levels.append(array)
+    def add(self, array_: SuffixArray) -> None:
+        while self.levels and len(self.levels[-1].starts) <= 2 * len(array_.starts):
+            array_ = self.levels.pop().joined(array_)
+        self.levels.append(array_)
 
     def match(self, text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Whether an earlier document has each suffix; the batch joins the family."""
         if not len(starts):
             return np.zeros(0, bool)
-        mine = SuffixArray.of(text, starts, docs, self.length)
+        mine, place = SuffixArray.of(text, starts, docs, self.length)
         least = self.scan(mine)
-        # the batch's own suffixes among its different ones, by one more merge
-        everyone = SuffixArray(text, starts, docs, self.length).keys().view(np.uint8).reshape(len(starts), -1)
-        closed = lambda x: np.append(x, np.ones((len(x), 1), np.uint8), axis=1).view(f"S{self.length + 1}")[:, 0]
-        at = np.searchsorted(closed(mine.keys().view(np.uint8).reshape(len(least), -1)), closed(everyone))
         self.add(mine)
-        return least[at] < docs
+        return least[place] < docs
 
 
 def fetch_bytes(found: DataFrame, docs: DataFrame, shards: int, length: int) -> DataFrame:
