@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +36,36 @@ def single_occurrences(reads: DataFrame, kmer: str) -> DataFrame:
     return found.select("read_id", "_length", F.col("_at")[0].alias("off"))
 
 
+def repeats_inside(reads: np.ndarray, k: int) -> np.ndarray:
+    """Which rows of a matrix of bytes hold some stretch of ``k`` twice; stretches are ranked by doubling, so this is exact."""
+    n, length = reads.shape
+    if length <= k:
+        return np.zeros(n, bool)
+    alphabet, code = np.unique(reads, return_inverse=True)
+    code, base, width = code.reshape(n, length).astype(np.int64), max(2, len(alphabet)), 1
+    while width < k:  # numbers of stretches of twice the width, or of k by two that overlap
+        if base * base >= 1 << 62:
+            known, code = np.unique(code, return_inverse=True)
+            code, base = code.reshape(n, -1), max(2, len(known))
+        step = min(width, k - width)
+        code = code[:, : code.shape[1] - step] * base + code[:, step:]
+        base, width = base * base, width + step
+    code = np.sort(code, axis=1)
+    return (code[:, 1:] == code[:, :-1]).any(1)
+
+
 def repeated_kmer_reads(reads: DataFrame, k: int = 11) -> DataFrame:
-    """Reads in which some k-mer occurs twice, without exploding k-mers."""
-    words = F.transform(kmers(F.col("seq"), k), lambda x: x["kmer"])
-    return reads.where(F.size(F.array_distinct(words)) < F.size(words)).select("read_id")
+    """Reads in which some k-mer occurs twice; decided in arrays of reads of one length, without exploding k-mers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy()
+            for length in np.unique(size[size > k]).tolist():
+                rows = b.take(pa.array(np.flatnonzero(size == length)))
+                bases = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.uint8).reshape(-1, length)
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(repeats_inside(bases, k)))], names=["read_id"])
+
+    return reads.select("read_id", F.col("seq").cast("binary").alias("seq")).mapInArrow(run, "read_id long")
 
 
 def kmer_counts(positions: DataFrame, k: int) -> DataFrame:

@@ -21,8 +21,14 @@ def best(found: DataFrame) -> DataFrame:
 
 
 def exact(reads: DataFrame, text: DataFrame) -> DataFrame:
-    """Best exact match; ``text`` has pos and txt, one row for each position."""
-    return best(both_strands(reads).join(text, F.col("seq") == F.col("txt")).select("read_id", "pos", "rc", F.lit(0).alias("mis")))
+    """Best exact match; ``text`` has pos and txt, one row for each position.
+
+    Hashes meet first; only positions whose hash some read has are compared as text.
+    """
+    both = both_strands(reads).withColumn("h", F.xxhash64("seq"))
+    met = both.select("read_id", "rc", "h").join(text.select("pos", F.xxhash64("txt").alias("h")), "h").drop("h")
+    found = met.join(text, "pos").join(both.drop("h"), ["read_id", "rc"]).where("seq = txt")
+    return best(found.select("read_id", "pos", "rc", F.lit(0).alias("mis")))
 
 
 def verified(candidates: DataFrame, reads: DataFrame, text: DataFrame, length: int, most: int) -> DataFrame:
@@ -68,7 +74,8 @@ def sampled(reads: DataFrame, text: DataFrame, length: int, most: int, seed: int
         from pyspark.sql import Window
 
         t = t.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("at"))).where(F.col("_n") <= cap).drop("_n")
-    found = r.join(t, "key").select("read_id", "rc", (F.col("at") - F.col("off")).alias("pos")).where("pos >= 0")
+    hashed = lambda df: df.withColumn("h", F.xxhash64("key")).drop("key")  # noqa: E731  a stretch that meets another by its hash alone still has to pass the distance
+    found = hashed(r).join(hashed(t), "h").select("read_id", "rc", (F.col("at") - F.col("off")).alias("pos")).where("pos >= 0")
     return best(verified(found, both, text, length, most))
 
 

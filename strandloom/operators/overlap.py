@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.store import checkpointed
 
+#: Open ends that one task may take: 40 MB at 100 bases.
+TASK_ROWS = 400_000
+
 
 def duplicate_chain(reads: DataFrame, length: int | None = None) -> DataFrame:
     """read_id, next_id, overlap: reads of one sequence chained by id."""
@@ -36,22 +43,65 @@ def overlap_pairs(suffixes: DataFrame, prefixes: DataFrame, length: int, overlap
     return pairs.select(F.col("s.read_id").alias("read_id"), F.col("p.read_id").alias("next_id")).where("read_id <> next_id").withColumn("overlap", F.lit(overlap))
 
 
-def greedy_links(reads: DataFrame, length: int, min_overlap: int, band: int = 8) -> DataFrame:
+def rank_pairs(suffix_ids: np.ndarray, suffix_keys: np.ndarray, prefix_ids: np.ndarray, prefix_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What overlap_pairs does, in arrays: positions of paired suffixes and prefixes; ids ascend."""
+    keys, code = np.unique(np.concatenate([suffix_keys, prefix_keys]), return_inverse=True)
+    sides = []
+    for side in (code[: len(suffix_ids)], code[len(suffix_ids) :]):
+        order = np.argsort(side, kind="stable")
+        first = np.searchsorted(side[order], np.arange(len(keys)))
+        rank = np.arange(len(order)) - first[side[order]]
+        sides.append((order, side[order].astype(np.int64) << 32 | rank))
+    _, i, j = np.intersect1d(sides[0][1], sides[1][1], assume_unique=True, return_indices=True)
+    i, j = sides[0][0][i], sides[1][0][j]
+    other = suffix_ids[i] != prefix_ids[j]
+    return i[other], j[other]
+
+
+def finish_links(suffixes: DataFrame, prefixes: DataFrame, length: int, first: int, min_overlap: int) -> DataFrame:
+    """The steps from overlap ``first`` on in one task; for tables of a checked size only."""
+    rows = suffixes.select(F.lit(0).alias("side"), "read_id", "seq").unionByName(prefixes.select(F.lit(1).alias("side"), "read_id", "seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("side", "ascending"), ("read_id", "ascending")])
+        side, ids = table.column("side").to_numpy(), table.column("read_id").to_numpy()
+        bases = np.frombuffer("".join(table.column("seq").to_pylist()).encode("latin-1"), np.uint8).reshape(len(ids), length)
+        open_ = [(ids[side == k], bases[side == k]) for k in (0, 1)]
+        for overlap in range(first, min_overlap - 1, -1):
+            (a, left), (b, right) = open_
+            if not len(a) or not len(b):
+                return
+            text = lambda x: np.ascontiguousarray(x).view(f"S{overlap}")[:, 0]
+            i, j = rank_pairs(a, text(left[:, length - overlap :]), b, text(right[:, :overlap]))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(np.full(len(i), overlap, np.int32))], names=["read_id", "next_id", "overlap"])
+                open_ = [(np.delete(a, i), np.delete(left, i, 0)), (np.delete(b, j), np.delete(right, j, 0))]
+
+    return rows.repartition(1).mapInArrow(run, "read_id long, next_id long, overlap int")
+
+
+def greedy_links(reads: DataFrame, length: int, min_overlap: int, band: int = 8, task_rows: int = TASK_ROWS) -> DataFrame:
     """Links of the descending greedy: duplicates first, then overlaps from length-1 down to ``min_overlap``.
 
     Each step pairs only suffixes and prefixes that are still open; leftovers of a key whose pair was a read with
     itself stay open. State is written every ``band`` steps, so that plans stay short and executors may be lost.
+    Steps are distributed joins while more than ``task_rows`` ends are open; the rest is done in one task, in arrays.
     """
     ends = checkpointed(chain_ends(reads), "ends")
     links = duplicate_chain(reads, length)
     suffixes, prefixes = ends.select(F.col("tail").alias("read_id"), "seq"), ends.select(F.col("head").alias("read_id"), "seq")
-    for step, overlap in enumerate(range(length - 1, min_overlap - 1, -1), 1):
+    for step, overlap in enumerate(range(length - 1, min_overlap - 1, -1)):
+        if step % band == 0:
+            if step:
+                suffixes, prefixes = checkpointed(suffixes, "suffixes"), checkpointed(prefixes, "prefixes")
+            if suffixes.count() + prefixes.count() <= task_rows:
+                links = links.unionByName(finish_links(suffixes, prefixes, length, overlap, min_overlap))
+                break
         found = checkpointed(overlap_pairs(suffixes, prefixes, length, overlap), "found")
         links = links.unionByName(found)
         suffixes = suffixes.join(found.select("read_id"), "read_id", "left_anti")
         prefixes = prefixes.join(found.select(F.col("next_id").alias("read_id")), "read_id", "left_anti")
-        if step % band == 0:
-            suffixes, prefixes = checkpointed(suffixes, "suffixes"), checkpointed(prefixes, "prefixes")
-            if not suffixes.limit(1).count() or not prefixes.limit(1).count():
-                break
     return checkpointed(links, "greedy")

@@ -244,9 +244,9 @@ def kmer_bucket_cap(spark, sf):
     return K.capped_buckets(X.genome_positions(spark, sf), 5).select("pos", "kmer")
 
 
-@query(", top AS (SELECT st, max(read_id) AS read_id FROM placed GROUP BY st) SELECT pr.pos AS probe, top.read_id FROM (SELECT pos FROM gpos WHERE pos % 97 = 0) pr ASOF LEFT JOIN top ON pr.pos >= top.st")
+@query(", top AS (SELECT st, max(read_id) AS read_id FROM placed GROUP BY st) SELECT pr.pos AS probe, top.read_id FROM (SELECT pos FROM gpos) pr ASOF LEFT JOIN top ON pr.pos >= top.st")
 def asof_read(spark, sf):
-    probes = X.genome_positions(spark, sf).where("pos % 97 = 0").select(F.col("pos").alias("probe"))
+    probes = X.genome_positions(spark, sf).select(F.col("pos").alias("probe"))
     return R.asof(probes, "probe", X.placed_reads(spark, sf), "st", "read_id", "read_id")
 
 
@@ -393,9 +393,9 @@ def mem_islands(spark, sf):
     return M.maximal_matches(own, back, 12, 14)
 
 
-@query(", iv AS (SELECT b * 32 AS src_pos, 150 + b % 200 AS length FROM win WHERE b % 16 = 0) SELECT read_id, src_pos, length FROM placed JOIN iv ON st >= src_pos AND st + 100 <= src_pos + length")
+@query(", iv AS (SELECT b * 32 AS src_pos, 150 + b % 200 AS length FROM win) SELECT read_id, src_pos, length FROM placed JOIN iv ON st >= src_pos AND st + 100 <= src_pos + length")
 def interval_contains(spark, sf):
-    iv = X.windows(spark, sf).where("b % 16 = 0").select((F.col("b") * 32).alias("src_pos"), (F.col("b") % 200 + 150).alias("length"))
+    iv = X.windows(spark, sf).select((F.col("b") * 32).alias("src_pos"), (F.col("b") % 200 + 150).alias("length"))
     return M.contained(X.placed_reads(spark, sf).select("read_id", F.col("st").alias("pos")), iv, LENGTH)
 
 

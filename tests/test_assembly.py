@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.operators import classify as C
 from strandloom.operators import layout as L
 from strandloom.operators import overlap as O
+from strandloom.operators.kmers import repeats_inside
 from strandloom.params import EngineParams
 from strandloom.plans import archive as A
 from strandloom.plans import registry
@@ -61,6 +63,23 @@ def test_links_join_equal_ends(spark):
     assert len({x.read_id for x in found}) == len(found) == len({x.next_id for x in found})
 
 
+def test_one_task_links_like_many(spark):
+    rng = random.Random(2)
+    seqs = ["".join(rng.choice("ACN") for _ in range(10)) for _ in range(80)]
+    seqs += seqs[:5]
+    r = table(spark, seqs)
+    got = [sorted(map(tuple, O.greedy_links(r, 10, 1, task_rows=n).select("read_id", "next_id", "overlap").collect())) for n in (0, 60, 1000)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_repeats_inside_by_force():
+    rng = random.Random(3)
+    for k in (1, 2, 5, 11, 40):
+        rows = ["".join(rng.choice("ACGTN") for _ in range(20)) * 3 if rng.random() < 0.3 else "".join(rng.choice("ACGTN") for _ in range(60)) for _ in range(40)]
+        got = repeats_inside(np.frombuffer("".join(rows).encode(), np.uint8).reshape(40, 60), k).tolist()
+        assert got == [len({s[i : i + k] for i in range(61 - k)}) < 61 - k for s in rows]
+
+
 def test_registered_assembly_takes_short_overlaps(spark, monkeypatch):
     rng = random.Random(11)
     genome = "".join(rng.choice("ACGT") for _ in range(260))
