@@ -134,7 +134,7 @@ def word_features(w: bytes) -> list[int]:
 
 def features(s: Style, cache: dict[bytes, list[int]]) -> np.ndarray:
     out: set[int] = set()
-    if len(cache) > 500_000:
+    if len(cache) > 100_000:
         cache.clear()
     for w in s.bare:
         f = cache.get(w)
@@ -313,7 +313,7 @@ def scorer_of(scorers: list[tuple[np.ndarray, np.ndarray, float]]):
         scores: list[list[float]] = [[], []]
         for text in texts:
             s = style(text)
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             hits: set[int] = set()
             for w in s.bare:
