@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,8 +101,27 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     )
 
 
+@lru_cache(maxsize=1)
+def allocator() -> ctypes.CDLL | None:
+    """The C library, told to give large arrays back to the system when they are freed; None where that is not glibc."""
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "malloc_trim") or not hasattr(libc, "mallopt"):
+        return None
+    libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    return libc
+
+
+def tidy_memory() -> None:
+    """Give back what this worker's last task has freed: workers live on, and each would keep its largest task's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if libc := allocator():
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds at most ``most`` bytes of the given column, or one row."""
+    tidy_memory()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -111,3 +133,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
             last = min(n, max(last, first + 1))
             yield batch.slice(first, last - first)
             first, before = last, int(ends[last - 1])
+    tidy_memory()

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, discard, id_text, materialise, read_table, slices
+from .common import bound_arrow_batches, discard, id_text, materialise, read_table, slices, tidy_memory
 from .components import connected_components
 
 PERMUTATIONS = 135
@@ -201,6 +201,7 @@ def band_edges(ids: list[int], planes: np.ndarray) -> list[tuple[int, int]]:
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
     """Sorted rows cut where one of the first ``keys`` columns changes, with whether a run begins."""
+    tidy_memory()
     before = None
     for batch in batches:
         if not batch.num_rows:

@@ -241,7 +241,7 @@ def feature_counts(rows: DataFrame, models: list[LabelModel]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, list[int]] = {}
-        for part in slices(batches):
+        for part in slices(batches, most=1 << 20):  # the arrays below are many times the text
             found = [features(style(t), cache) for t in part.column(1).cast(pa.binary()).to_pylist()]
             own = np.repeat(np.arange(len(found)), [len(f) + 1 for f in found])
             flat, at = np.unique(np.concatenate([np.append(f, -1) for f in found]), return_inverse=True)

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, discard, materialise, read_table, slices, with_rest
+from .common import bound_arrow_batches, discard, materialise, read_table, slices, tidy_memory, with_rest
 
 GRAM = 16
 SHARD_BYTES = 48 << 20
@@ -298,6 +298,7 @@ def settle_shard(buckets: int):
     """What the stretches of one shard tell: which are covered, and which are to be compared as bytes."""
 
     def run(table: pa.Table) -> pa.Table:
+        tidy_memory()
         rows: list[tuple] = []
         if known := read_blobs(table.column("known")):
             rows += [(b, blob, None) for b, blob in by_bucket(buckets, *known)]
@@ -432,6 +433,7 @@ def compare_shard(length: int, buckets: int):
     """Passes one shard's stretches through a suffix-array family, in order of documents."""
 
     def run(table: pa.Table) -> pa.Table:
+        tidy_memory()
         parts = [unpack(x.as_py()) for x in table.column("blob")]
         doc, tag, start, count, low, text = (np.concatenate(x) for x in zip(*parts, strict=True))
         sizes = count + length - 1
