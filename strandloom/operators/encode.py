@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import reverse_offsets
@@ -40,6 +40,15 @@ def zero_split(listed: DataFrame) -> DataFrame:
     return listed.select("rl_idx", (F.col("mis_cnt") == 0).alias("zero"), F.when(F.col("mis_cnt") != 0, F.col("mis_cnt")).alias("nonzero"))
 
 
+def mismatch_groups(listed: DataFrame) -> DataFrame:
+    """mis_cnt, n, start: entries of each mismatch count, and where their offsets begin when streams of equal counts follow
+    one another; a row per count, at most the read's length of them.
+    """
+    counts = listed.where("mis_cnt > 0").groupBy("mis_cnt").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("mis_cnt").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("mis_cnt")).over(before), F.lit(0)).cast("long"))
+
+
 def pair_offsets(listed: DataFrame) -> DataFrame:
     """pair_id, base_rl, offset, base_mate: distance in list order between mates, from the earlier one."""
     first = F.min(F.struct("rl_idx", "mate"))

@@ -36,6 +36,16 @@ def running_sum(df: DataFrame, key: str, value: Column, name: str, part: list[st
     return b.withColumn("_s", inside).join(before, [*part, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_s")).cast("long")).select(*df.columns, name)
 
 
+def running_max_before(df: DataFrame, key: str, ties: list[str], value: Column, name: str, width: int = BUCKET) -> DataFrame:
+    """Adds the greatest ``value`` of the rows before each in order of ``key`` and ``ties``, null for the first."""
+    b = df.withColumns({"_bucket": F.floor(F.col(key) / width).cast("long"), "_v": value})
+    tops = b.groupBy("_bucket").agg(F.max("_v").alias("_top"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = tops.select("_bucket", F.max("_top").over(before.orderBy("_bucket")).alias("_earlier"))  # one row per bucket
+    inside = F.max("_v").over(before.partitionBy("_bucket").orderBy(key, *ties))
+    return b.withColumn("_in", inside).join(earlier, "_bucket").withColumn(name, F.greatest("_earlier", "_in")).select(*df.columns, name)
+
+
 def previous_value(df: DataFrame, rank: str, value: str, name: str, part: list[str] | None = None, width: int = BUCKET) -> DataFrame:
     """Adds the value at the rank before, null for the first, by windows inside buckets of ranks."""
     part = part or []

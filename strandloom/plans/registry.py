@@ -327,6 +327,11 @@ def zero_split(spark, sf):
     return E.zero_split(_mis_listed(spark, sf))
 
 
+@query(MISLIST + " SELECT mis_cnt, n, CAST(coalesce(sum(n * mis_cnt) OVER (ORDER BY mis_cnt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT mis_cnt, count(*) AS n FROM ml WHERE mis_cnt > 0 GROUP BY mis_cnt)")
+def mismatch_groups(spark, sf):
+    return E.mismatch_groups(_mis_listed(spark, sf))
+
+
 @query(LISTED + " SELECT rl_idx, read_id, pos - coalesce(lag(pos) OVER (ORDER BY rl_idx), 0) AS off FROM rl")
 def offset_delta(spark, sf):
     return E.offset_delta(hq(spark, sf).select("read_id", F.col("st").alias("pos")))
@@ -399,6 +404,12 @@ def interval_contains(spark, sf):
     return M.contained(X.placed_reads(spark, sf).select("read_id", F.col("st").alias("pos")), iv, LENGTH)
 
 
+@query(", iv AS (SELECT b * 32 AS src_pos, 20 + (b * 37) % 200 AS length FROM win) SELECT src_pos, length, max(src_pos + length) OVER (ORDER BY src_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS end_before FROM iv")
+def interval_running_end(spark, sf):
+    iv = X.windows(spark, sf).select((F.col("b") * 32).alias("src_pos"), ((F.col("b") * 37) % 200 + 20).alias("length"))
+    return R.running_max_before(iv, "src_pos", ["length"], F.col("src_pos") + F.col("length"), "end_before")
+
+
 @query(" SELECT read_id, CAST(greatest(1, ceil(length(bin(read_id)) / 7.0)) AS INT) AS size FROM reads")
 def varint_size(spark, sf):
     return X.reads(spark, sf).select("read_id", S.varint_size(F.col("read_id")).alias("size"))

@@ -6,7 +6,7 @@ import pytest
 from strandloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FAST = ["class_counts", "division_rows", "reads_profile", "symbol_counts", "mean_quality_prob", "geo_mean_quality", "reverse_complement", "duplicate_chain", "overlap_l80", "kmer_occurrences", "kmer_counts", "asof_read", "coprime_match", "match_histogram", "mismatch_codes", "rev_offset_delta", "mismatch_cumsum", "offset_delta", "position_cumsum", "pair_offset_u8", "pair_pos_u16", "mem_islands", "interval_contains", "varint_size", "component_counts", "pg_slice"]
+FAST = ["class_counts", "division_rows", "reads_profile", "symbol_counts", "mean_quality_prob", "geo_mean_quality", "reverse_complement", "duplicate_chain", "overlap_l80", "kmer_occurrences", "kmer_counts", "asof_read", "coprime_match", "match_histogram", "mismatch_codes", "rev_offset_delta", "mismatch_cumsum", "offset_delta", "position_cumsum", "pair_offset_u8", "pair_pos_u16", "mem_islands", "interval_contains", "interval_running_end", "mismatch_groups", "varint_size", "component_counts", "pg_slice"]
 
 
 def rows(values, names):
