@@ -1,7 +1,7 @@
 """Exact top-k BM25 search over a sharded inverted index with block-max WAND pruning.
 
 Documents are indexed shard by shard, a shard being what a task gathers up to ``shard_bytes`` of text or
-``SHARD_ROWS`` documents: terms with their postings in order of documents, cut into blocks of ``BLOCK`` documents;
+``SHARD_ROWS`` documents: terms with their postings in order of documents (by length of text), cut into blocks of ``BLOCK`` documents;
 every block of every list has its greatest impact. Lengths and document frequencies are summed over all shards, so
 that every shard scores with the same statistics and the merged lists are the exact answer.
 
@@ -86,6 +86,9 @@ def build_shards(docs: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
         size = 0
 
         def emit() -> pa.RecordBatch:
+            # a short text's impacts are high: texts of like length share blocks, so that block maxima are closer
+            order = sorted(range(len(ids)), key=lambda d: len(texts[d]))
+            ids[:], texts[:] = [ids[d] for d in order], [texts[d] for d in order]
             term, owner, count = terms_of(texts)
             length = np.bincount(owner, count, len(texts)).astype(np.int64)
             at = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
@@ -130,7 +133,7 @@ class Shard:
 
     def __init__(self, blob: bytes, mean_length: float):
         self.ids, length, self.terms, self.at, self.docs, count = unpack(blob)
-        self.docs = self.docs.astype(np.int64)
+        self.docs = self.docs.astype(np.int32)
         norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
         self.impact = count * (K1 + 1) / (count + norm[self.docs])
         self.df = np.diff(np.append(self.at, len(self.docs)))
@@ -145,6 +148,7 @@ class Shard:
         self.first_run = np.searchsorted(self.run_at, self.at)
         self.runs = np.diff(np.append(self.first_run, len(self.run_at)))
 
+        self.room, self.place = np.empty(0), np.empty(0, np.int64)  # used again by every query
         self.term_max = np.maximum.reduceat(self.impact, self.at) if len(self.at) else np.zeros(0)
 
     @staticmethod
@@ -152,16 +156,25 @@ class Shard:
         """The numbers of ranges, one after the other."""
         return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
+    def add(self, score: np.ndarray, first: np.ndarray, size: np.ndarray, weight: np.ndarray) -> None:
+        """Add ranges of postings to their documents' scores; a range is copied as a whole, as that costs least a posting."""
+        end = np.cumsum(size)
+        total = int(end[-1])
+        if total > len(self.room):
+            self.room, self.place = np.empty(2 * total), np.empty(2 * total, np.int64)
+        ranges = [slice(a, b) for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)]
+        docs = np.concatenate([self.docs[r] for r in ranges], out=self.place[:total])
+        for r, w, a, b in zip(ranges, weight.tolist(), (end - size).tolist(), end.tolist(), strict=True):
+            np.multiply(self.impact[r], w, out=self.room[a:b])
+        score += np.bincount(docs, self.room[:total], len(score))
+
     def add_runs(self, score: np.ndarray, run: np.ndarray, weight: np.ndarray) -> None:
-        """Add the postings of runs to their documents' scores."""
-        size = self.run_size[run]
-        take = self.spread(self.run_at[run], size)
-        score += np.bincount(self.docs[take], np.repeat(weight, size) * self.impact[take], len(score))
+        """Add the postings of runs, in order of lists; runs that follow each other in a list are one range."""
+        head = np.flatnonzero(np.append(True, (np.diff(run) != 1) | (weight[1:] != weight[:-1])))
+        self.add(score, self.run_at[run[head]], np.add.reduceat(self.run_size[run], head), weight[head])
 
     def add_lists(self, score: np.ndarray, t: np.ndarray, w: np.ndarray) -> None:
-        size = self.df[t]
-        take = self.spread(self.at[t], size)
-        score += np.bincount(self.docs[take], np.repeat(w, size) * self.impact[take], len(score))
+        self.add(score, self.at[t], self.df[t], w)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of at most k documents that are best in this shard; terms ascend."""
@@ -194,7 +207,8 @@ class Shard:
             open_ = np.zeros(self.blocks, bool)
             open_[alive // BLOCK] = True
             some = np.flatnonzero(open_[block])
-            self.add_runs(score, run[some], weight[some])
+            if len(some):
+                self.add_runs(score, run[some], weight[some])
         exact = np.round(score[alive], 6)
         best = np.lexsort((self.ids[alive], -exact))[:k]
         return self.ids[alive][best], exact[best]
