@@ -43,8 +43,7 @@ K1, B = 1.2, 0.75
 #: Documents of a block.
 BLOCK = 64
 SHARD_BYTES, SHARD_ROWS = 32 << 20, 1 << 16
-#: Queries of a task: enough that reading a shard costs little beside searching it.
-CHUNK_ROWS = 2048
+CHUNK_ROWS = 512
 #: Scores are compared with this slack and reported to six decimals, so that the order of sums does not matter.
 SLACK = 1e-6
 STRIP = b".,;:!?\"'()[]{}"
