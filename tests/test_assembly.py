@@ -121,3 +121,69 @@ def test_archive_round_trip(spark, tmp_path, mode, rc):
     decoded = A.decompress(spark, str(tmp_path / "a"))
     assert A.verify(decoded, reads, mode).first().asDict() == {"wrong": 0, "duplicated": 0, "missing": 0, "surplus": 0, "wrong_pair": 0, "reads": 80}
     assert decoded.where(F.col("seq").contains("N")).count() == sum("N" in s for s in seqs)
+
+
+def in_order(seqs, least):
+    """Links of the descending greedy by force: duplicates, then at each overlap open ends of one key by their ids."""
+    n, out, same = len(seqs[0]), [], {}
+    for i, s in enumerate(seqs):
+        if s in same:
+            out.append((same[s], i, n))
+        same[s] = i
+    first = {s: i for i, s in reversed(list(enumerate(seqs)))}
+    tails, heads = sorted(same.values()), sorted(first.values())
+    for overlap in range(n - 1, least - 1, -1):
+        keys = {}
+        for k, ends in enumerate((tails, heads)):
+            for i in ends:
+                keys.setdefault(seqs[i][n - overlap :] if k == 0 else seqs[i][:overlap], ([], []))[k].append(i)
+        pairs = [(a, b, overlap) for x, y in keys.values() for a, b in zip(x, y, strict=False) if a != b]
+        out += pairs
+        tails, heads = ([i for i in ends if i not in {p[k] for p in pairs}] for k, ends in enumerate((tails, heads)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("letters,length", [("AC", 9), ("ACGT", 40), ("ACN", 24), ("ACGTRY", 17)])
+def test_packed_steps_and_one_task_link_like_text(spark, letters, length):
+    rng = random.Random(length)
+    genome = "".join(rng.choice(letters) for _ in range(90))
+    seqs = [genome[at : at + length] for at in (rng.randrange(0, 90 - length) for _ in range(50))]
+    r, want = table(spark, seqs), in_order(seqs, length - 5)
+    for rows, part in ((0, 1000), (0, 30), (1000, 1000)):
+        assert sorted(map(tuple, O.greedy_links(r, length, length - 5, task_rows=rows, part_rows=part).select("read_id", "next_id", "overlap").collect())) == want
+
+
+def test_equal_hashes_of_unequal_texts_do_not_link(monkeypatch):
+    rng = random.Random(13)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(8)) for _ in range(120)]
+    codes = list(np.frombuffer("".join(seqs).encode(), np.uint8).reshape(120, 8).T)
+    monkeypatch.setattr(O, "MULTIPLIER", 1)  # any order of the same symbols has one hash
+    all_ = np.arange(120)
+    got = [(a, b, n) for x, y, n in O.rolling_links(codes, all_, all_, all_, 7, 1) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(set(seqs)) == 120 and sorted(got) == in_order(seqs, 1)
+
+
+def test_contracted_links_cut_and_rank_like_one_task(spark):
+    rng = random.Random(14)
+    ids = rng.sample(range(1000), 200)
+    links, want_cut, want = [], set(), {}
+    for size, ring in ((1, True), (2, True), (37, True), (80, False), (60, False), (1, False)):
+        part, ids = ids[:size], ids[size:]
+        edges = [(a, b, rng.randrange(1, 8)) for a, b in zip(part, part[1:] + part[:1], strict=True)][: size if ring else size - 1]
+        cut = min(edges, key=lambda e: (e[2], e[0])) if ring else None
+        links += edges
+        if ring:
+            want_cut.add(cut[0])
+            at = part.index(cut[1])
+            part = part[at:] + part[:at]
+        gap, start = {e[1]: 8 - e[2] for e in edges}, 0
+        for rank, x in enumerate(part):
+            start += gap[x] if rank else 0
+            want[x] = (part[0], rank, start)
+    table_ = spark.createDataFrame(links, "read_id long, next_id long, overlap int")
+    reads = spark.createDataFrame([(x,) for x in want], "read_id long")
+    for rows in (20, 1000):
+        cut = L.cut_cycles(table_, task_rows=rows)
+        assert {x[0] for x in links} - {x.read_id for x in cut.collect()} == want_cut
+        ranks = L.list_ranks(reads, cut, 8, task_rows=rows).collect()
+        assert {x.read_id: (x.head, x["rank"], x.start) for x in ranks} == want
