@@ -153,6 +153,17 @@ def test_packed_steps_and_one_task_link_like_text(spark, letters, length):
         assert sorted(map(tuple, O.greedy_links(r, length, length - 5, task_rows=rows, part_rows=part).select("read_id", "next_id", "overlap").collect())) == want
 
 
+def test_reads_mapped_in_parts_restore(spark, monkeypatch):
+    rng = random.Random(15)
+    genome = "".join(rng.choice("ACGT") for _ in range(200))
+    seqs = [genome[at : at + 40] for at in (rng.randrange(160) for _ in range(24))]
+    reads = spark.createDataFrame([(i, i // 2, i % 2, s, ("I" if i % 3 else "#") * 40) for i, s in enumerate(seqs)], READS)
+    monkeypatch.setattr(A, "MATCH_ROWS", 5)
+    rows, pg, manifest = A.build(reads, EngineParams(ov=0, rc_mate2=False, seed=24))
+    decoded = A.restore_rows(rows, pg, manifest["length"], False)
+    assert {r.read_id: r.seq for r in decoded.collect()} == dict(enumerate(seqs))
+
+
 def test_equal_hashes_of_unequal_texts_do_not_link(monkeypatch):
     rng = random.Random(13)
     seqs = ["".join(rng.choice("ACGT") for _ in range(8)) for _ in range(120)]
