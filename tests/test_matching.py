@@ -1,6 +1,7 @@
 """Matches on a text in chunks are those on its positions."""
 
 import random
+import re
 
 from strandloom.operators import matching as M
 
@@ -24,3 +25,29 @@ def test_chunks_match_like_positions(spark):
     want = sorted(map(tuple, M.sampled(rows, whole, n, 13, 24).collect()))
     assert sorted(map(tuple, M.sampled_in_chunks(rows, chunks, n, 13, 24, chunk=chunk).collect())) == want
     assert len(want) > 30
+
+
+def test_exact_match_shuffles_no_position_as_text(spark, monkeypatch):
+    rng = random.Random(22)
+    n, chunk = 40, 64
+    text = "".join(rng.choice("ACGT") for _ in range(64 * 3 + 11))
+    text = text[:130] + text[20:75] + text[:12] + text[20:75]
+    back = str.maketrans("ACGT", "TGCA")
+    reads = [(i, text[p : p + n][::-1].translate(back) if i % 2 else text[p : p + n]) for i, p in enumerate([0, 24, 63, 64, 110, 130, 131, len(text) - n, len(text) - n] + [rng.randrange(len(text) - n) for _ in range(30)])]
+    reads += [(90, "N" + text[1:n]), (91, text[-25:] + "ACGTTGCAACGTTGC"), (92, text[:20] + text[:20])]
+    rows = spark.createDataFrame(reads, "read_id long, seq string")
+    whole = spark.createDataFrame([(p, text[p : p + n]) for p in range(len(text) - n + 1)], "pos long, txt string")
+    chunks = spark.createDataFrame([(c, c * chunk, text[c * chunk : c * chunk + chunk + n - 1]) for c in range(-(-len(text) // chunk))], "chunk long, start long, seq string")
+    want = sorted(map(tuple, M.exact(rows, whole).collect()))
+    assert sorted(map(tuple, M.exact_in_chunks(rows, chunks, n, chunk).collect())) == want and len(want) == len(reads) - 3
+    # pairs of one hash are compared as text: all hashes alike give the same rows
+    with monkeypatch.context() as m:
+        m.setattr(M.F, "xxhash64", lambda *_: M.F.lit(7).cast("long"))
+        assert sorted(map(tuple, M.exact_in_chunks(rows, chunks, n, chunk).collect())) == want
+    wrote = []
+    keep = M.checkpointed
+    monkeypatch.setattr(M, "checkpointed", lambda df, name, *by: (wrote.append(df._jdf.queryExecution().toString()), keep(df, name, *by))[1])
+    from strandloom.plans import registry
+
+    registry.QUERIES["exact_match"](spark, "/root/testdata/sf0.001")
+    assert re.search(r"Join Inner, \(h#\d+L = h#\d+L\)", wrote[0]) and "txt#" not in wrote[0]
