@@ -198,3 +198,18 @@ def test_contracted_links_cut_and_rank_like_one_task(spark):
         assert {x[0] for x in links} - {x.read_id for x in cut.collect()} == want_cut
         ranks = L.list_ranks(reads, cut, 8, task_rows=rows).collect()
         assert {x.read_id: (x.head, x["rank"], x.start) for x in ranks} == want
+
+
+def test_reads_are_built_once_and_finished_packed(spark):
+    import numpy as np
+
+    from strandloom.operators import overlap as O
+    from strandloom.plans import registry
+
+    plan = registry.hq(spark, "/root/testdata/sf0.001").select("read_id", "seq")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("reverse(") == 1 and plan.count("md5(concat(q") <= 3  # not in the filter by class again
+    word = np.array([0b00_01_10_11 << 56, 0b11_10_01_00 << 56], np.uint64)
+    codes = [O.Symbols(word, np.uint64(62 - 2 * at), np.uint64(3)) for at in range(4)]
+    assert [c[np.array([1, 0])].tolist() for c in codes] == [[3, 0], [2, 1], [1, 2], [0, 3]]
+    every = np.arange(2)
+    assert [(x.tolist(), y.tolist(), n) for x, y, n in O.rolling_links(codes, every, every, every, 3, 1)] == [([0, 1], [1, 0], 1)]
