@@ -213,3 +213,25 @@ def test_reads_are_built_once_and_finished_packed(spark):
     assert [c[np.array([1, 0])].tolist() for c in codes] == [[3, 0], [2, 1], [1, 2], [0, 3]]
     every = np.arange(2)
     assert [(x.tolist(), y.tolist(), n) for x, y, n in O.rolling_links(codes, every, every, every, 3, 1)] == [([0, 1], [1, 0], 1)]
+
+
+def test_reads_are_packed_in_arrays_as_by_expressions(spark):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import overlap as O
+
+    rng = np.random.default_rng(5)
+    reads = ["".join(rng.choice(list(letters), 100)) for letters in ("ACGT", "ACGTN") for _ in range(40)]
+    for texts in (reads, [*reads, "ACG", "", None, "A" * 120, "é" * 50, "ACGTX"]):
+        for bits in (2, 3):
+            df = spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string")
+            by_text = [F.col("seq").rlike(f"[^{O.ALPHABETS[bits]}]"), *O.packing(F.col("seq"), 100, bits)]
+            packed = O.packed_reads(df, 100, bits)
+            assert "MapInArrow" in packed._jdf.queryExecution().executedPlan().toString()
+            got, want = ([tuple(x) for x in rows.orderBy("read_id").collect()] for rows in (packed, df.select("read_id", *by_text)))
+            assert [x[:2] for x in got] == [x[:2] for x in want]
+            assert [x for x in got if not x[1]] == [x for x in want if not x[1]]
+    part = pa.array(["XX", *reads[:9]]).slice(1)
+    assert O.packed_batch(pa.array(range(9)), part, 100, 2).equals(O.packed_batch(pa.array(range(9)), pa.array(reads[:9]), 100, 2))
