@@ -45,8 +45,8 @@ BATCH_WINDOWS = 1 << 18
 #: Stretches that make a minimizer frequent, and the bytes of text that are counted for it.
 HOT_ROWS, SAMPLE_BYTES = 200_000, 64 << 20
 NO_KEYS = np.zeros(0, np.uint64)
-#: Text that is hashed at once; positions in it take 24 bits.
-PIECE = 8 << 20
+#: Bytes of text that are hashed at once: some 110 bytes of arrays a byte, and positions in it take 24 bits.
+PIECE = 512 << 10
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from strandloom.llm import quality_model as QM
 from strandloom.llm import topk_search as TS
 from strandloom.llm import warc as WA
 from strandloom.llm.components import connected_components
-from strandloom.llm.substring_dedup import SuffixLevels, remove_repeats, stretches
+from strandloom.llm.substring_dedup import PIECE, SuffixLevels, remove_repeats, stretches
 
 SF = "/root/testdata/sf0.001"
 
@@ -158,6 +159,29 @@ def test_stretches_cover_each_window_once():
     assert windows == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 49)]
 
 
+def test_stretches_of_a_slice_and_of_a_long_text_take_little_memory():
+    r = random.Random(12)
+    words = [bytes(r.choice(b"abcdefgh ") for _ in range(30)) for _ in range(500)]
+    long = b"".join(r.choice(words) for _ in range(100_000))
+    for texts in ([long], [long[i : i + 2000] for i in range(0, 2 << 20, 2000)]):
+        tracemalloc.start()
+        d, start, count, *_ = stretches(texts, 50, 16)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100e6
+        assert count.sum() == sum(len(t) - 49 for t in texts if len(t) > 49)
+        same = d[1:] == d[:-1]
+        assert (start[1:][same] == (start + count)[:-1][same]).all()
+
+
+def test_repeat_across_the_cut_of_a_long_text(spark):
+    r = random.Random(13)
+    long = "".join(r.choice("abcdefgh ") for _ in range(PIECE + 1000))
+    rows = [(1, long[PIECE - 150 : PIECE + 150]), (2, long), (3, "x" * 60 + long[PIECE - 40 : PIECE + 40])]
+    got = {row.doc_id: [(s.start, s.end) for s in row.spans] for row in remove_repeats(documents(spark, rows)).collect()}
+    assert got == {1: [], 2: [(PIECE - 150, PIECE + 150)], 3: [(60, 140)]}
+
+
 def test_suffix_levels_grow_geometrically():
     r = random.Random(2)
     family_, seen = SuffixLevels(4), {}
