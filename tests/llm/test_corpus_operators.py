@@ -217,6 +217,29 @@ def test_top_k(spark):
     assert TS.top_k(docs.limit(0), docs).count() == 0
 
 
+def test_search_many_queries_at_once(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(r.paretovariate(0.8)) % 300}" for _ in range(r.randrange(1, 80)))) for i in range(1200)]
+    folder = TS.new_path(spark, "postings")
+    parts = TS.build_shards(TS.id_text(documents(spark, rows)).repartition(4), folder, 1 << 20).collect()
+    term, owner, count = TS.terms_of([t.encode() for _, t in rows[:100]])
+    df = np.array([sum(dict(zip(p.terms, p.df, strict=True)).get(t, 0) for p in parts) for t in term.view(np.int64).tolist()])
+    order = np.argsort(owner, kind="stable")
+    asked = TS.Asked(np.arange(100), np.bincount(owner), term[order], (count * np.log(1 + (1200 - df + 0.5) / (df + 0.5)))[order], 5)
+    opened = []
+    for p in parts:
+        files, base = TS.open_fs(folder)
+        with files.open_input_stream(f"{base}/{p.name}", compression=None) as held:
+            shard = TS.Shard(held.read(), sum(p.total for p in parts) / 1200)
+        shard.search(asked)
+        opened.append(shard.opened / (100 * shard.blocks))
+    assert len(parts) == 4 and opened[0] == 1 and max(opened[1:]) < 0.75  # then blocks of the other language are passed over
+    for i in range(100):
+        want = bm25(rows, rows[i][1], 5, TS.STRIP)
+        assert asked.doc[i].tolist() == [x[1] for x in want]
+        assert np.allclose(-asked.score[i], [x[0] for x in want], atol=2e-6)
+
+
 def test_classifier_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.1')}/labels.parquet")
     known, held = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
