@@ -14,7 +14,8 @@ Three steps keep the volume small:
    that a passage that very many documents hold is sent once per task, and say themselves which of the others are
    covered. Stretches with a minimizer of their own are done: no earlier window can equal theirs.
 3. Stretches that share a minimizer but not the whole stretch are compared as bytes: each different one is sent
-   once, from its first document, and goes through the suffix-array family, batch by batch in order of documents.
+   from its first document and goes through the suffix-array family, batch by batch in order of documents. Where that
+   document has it more than once, its other places come along as numbers and get what the first one gets.
 
 A minimizer with very many contexts would make one shard large. Frequent ones (``HOT_ROWS`` stretches or more, by a
 count over about ``SAMPLE_BYTES`` of text) are dealt window by window, by the hash of the window: equal windows meet,
@@ -308,10 +309,10 @@ def settle_shard(buckets: int):
             doc, tag, start, count, low, whole, again = (x[order] for x in entries)
             new_low = first_of_runs(low)
             new = new_low | first_of_runs(whole, again)
-            covered = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            covered = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]  # all places in the first document are compared
             rows += [(b, blob, None) for b, blob in by_bucket(buckets, doc[covered], tag[covered], start[covered], count[covered])]
             kinds = np.bincount((np.cumsum(new_low) - 1)[new])
-            ask = new & (kinds[np.cumsum(new_low) - 1] > 1)
+            ask = ~covered & (kinds[np.cumsum(new_low) - 1] > 1)
             rows += [(b, None, blob) for b, blob in by_bucket(buckets, doc[ask], tag[ask], start[ask], count[ask], low[ask])]
         return pa.Table.from_batches([batch_of(rows, TOLD_TYPES, ["bucket", "covered", "asked"])])
 
@@ -400,7 +401,7 @@ class SuffixLevels:
 
 
 def fetch_bytes(found: DataFrame, docs: DataFrame, shards: int, length: int) -> DataFrame:
-    """shard, blob of the stretches that are to be compared as bytes."""
+    """shard, blob of the stretches that are to be compared as bytes: each once a row, with its other places there."""
     wanted = found.where("asked IS NOT NULL").select("doc_id", "tag", F.array("asked").alias("asked"))
     joined = docs.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "asked")
 
@@ -409,21 +410,33 @@ def fetch_bytes(found: DataFrame, docs: DataFrame, shards: int, length: int) ->
             texts = part.column(2).cast(pa.binary()).to_pylist()
             columns: list[list[np.ndarray]] = []
             pieces: list[bytes] = []
+            others: list[list[np.ndarray]] = []
             for d, t, text, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, part.column(3).to_pylist(), strict=True):
                 start, count, low = (np.concatenate(x) for x in zip(*map(unpack, asked), strict=True))
-                columns.append([np.full(len(start), d, np.int64), np.full(len(start), t, np.int64), start.astype(np.int64), count.astype(np.int64), low])
-                pieces += [text[s : s + c + length - 1] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
+                number: dict[bytes, int] = {}
+                cut = (text[s : s + c + length - 1] for s, c in zip(start.tolist(), count.tolist(), strict=True))
+                which = np.fromiter((number.setdefault(x, len(number)) for x in cut), np.int64, len(start))
+                first = np.unique(which, return_index=True)[1]
+                more = np.delete(np.arange(len(which)), first)
+                others.append([which[more] + len(pieces), start[more].astype(np.int64)])
+                columns.append([np.full(len(first), d, np.int64), np.full(len(first), t, np.int64), start[first].astype(np.int64), count[first].astype(np.int64), low[first]])
+                pieces += number
             if not columns:
                 continue
             doc, tag, start, count, low = (np.concatenate(x) for x in zip(*columns, strict=True))
             shard = (scramble(low) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cuts = np.append(np.flatnonzero(first_of_runs(shard[order])), len(order)).tolist()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            which, also = (np.concatenate(x) for x in zip(*others, strict=True))
+            by = np.argsort(place[which], kind="stable")
+            which, also = place[which[by]], also[by]
             rows = []
             for i, j in zip(cuts, cuts[1:], strict=False):
-                k = order[i:j]
+                k, (a, b) = order[i:j], np.searchsorted(which, [i, j])
                 text = np.frombuffer(b"".join([pieces[x] for x in k.tolist()]), np.uint8)
-                rows.append((int(shard[k[0]]), pack(doc[k], tag[k], start[k], count[k], low[k], text)))
+                rows.append((int(shard[k[0]]), pack(doc[k], tag[k], start[k], count[k], low[k], text, which[a:b] - i, also[a:b])))
             yield batch_of(rows, [pa.int32(), pa.binary()], ["shard", "blob"])
 
     return joined.mapInArrow(run, "shard int, blob binary")
@@ -435,7 +448,10 @@ def compare_shard(length: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         tidy_memory()
         parts = [unpack(x.as_py()) for x in table.column("blob")]
-        doc, tag, start, count, low, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        base = np.cumsum([0, *(len(p[0]) for p in parts)])
+        doc, tag, start, count, low, text, owner, also = (np.concatenate(x) for x in zip(*parts, strict=True))
+        owner = owner + np.repeat(base[:-1], [len(p[6]) for p in parts])  # ascending
+        del parts
         sizes = count + length - 1
         begin = np.cumsum(sizes) - sizes
         order = np.lexsort((low, doc))
@@ -455,9 +471,17 @@ def compare_shard(length: int, buckets: int):
                 new = np.append(True, (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1))
                 f = np.flatnonzero(new)
                 runs = np.diff(np.append(f, len(hit)))
-                hits.append([doc[k][w[f]], tag[k][w[f]], start[k][w[f]] + s[f], runs.astype(np.uint8)])
+                hits.append([k[w[f]], s[f], runs.astype(np.uint8)])
             at = end
-        rows = [(b, blob, None) for b, blob in by_bucket(buckets, *(np.concatenate(x) for x in zip(*hits, strict=True)))] if hits else []
+        rows: list[tuple] = []
+        if hits:
+            k, s, runs = (np.concatenate(x) for x in zip(*hits, strict=True))
+            left, right = (np.searchsorted(owner, k, side=x) for x in ("left", "right"))
+            n = right - left
+            of = np.repeat(np.arange(len(k)), n)
+            places = also[np.repeat(left - (np.cumsum(n) - n), n) + np.arange(len(of))]
+            of, places = np.append(np.arange(len(k)), of), np.append(start[k], places)
+            rows = [(b, blob, None) for b, blob in by_bucket(buckets, doc[k[of]], tag[k[of]], places + s[of], runs[of])]
         return pa.Table.from_batches([batch_of(rows, TOLD_TYPES, ["bucket", "covered", "asked"])])
 
     return run

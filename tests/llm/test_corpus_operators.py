@@ -122,6 +122,18 @@ def test_repeats(spark, length):
     assert remove_repeats(documents(spark, []).limit(0)).count() == 0
 
 
+def test_repeats_of_a_stretch_that_its_first_document_has_often(spark):
+    r = random.Random(21)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, head, tail = some(60), some(40), some(40)
+    often = some(80).join([head + passage + tail] * 3)
+    rows = [(1, some(30) + passage + some(30)), (5, often + some(20)), (5, some(10) + head + passage + tail), (7, often)]
+    masks = repeats(rows, 50)
+    got = [(row.doc_id, sum(s.end - s.start for s in row.spans), len(row.spans)) for row in remove_repeats(documents(spark, rows)).collect()]
+    want = [(d, sum(mask), sum(m > (i and mask[i - 1]) for i, m in enumerate(mask))) for (d, _), mask in zip(rows, masks, strict=True)]
+    assert want[1][2] == 3 and sorted(got) == sorted(want)
+
+
 def test_stretches_that_share_half_a_hash_are_kept(spark):
     a, b = "bkzmrxxjgvroqqignmwosmpqepozttmycetzzmhbphmliwfikp", "sddmggbtouixjdoqtmwosmpqepozttmychafzxkkcsmcrztufc"
     _, _, _, low, whole, again = stretches([a.encode(), b.encode()], 50, 16)
