@@ -27,6 +27,39 @@ def test_chunks_match_like_positions(spark):
     assert len(want) > 30
 
 
+def test_exact_matches_come_first_and_the_rest_alike(spark, monkeypatch):
+    from strandloom.plans import archive as A
+
+    rng = random.Random(23)
+    n, chunk = 48, M.CHUNK
+    text = "".join(rng.choice("ACGT") for _ in range(chunk + 300))
+    text = text[:700] + text[90:190] + text[700:] + text[20:75]
+    back = str.maketrans("ACGT", "TGCA")
+    reads = []
+    for i in range(120):
+        at = rng.choice([0, 95, 120, chunk - 40, chunk - n, chunk, len(text) - n, rng.randrange(len(text) - n)])
+        s = list(text[at : at + n])
+        for _ in range(i % 3):
+            s[rng.randrange(n)] = rng.choice("ACGTN")
+        reads.append((i, "".join(s)[::-1].translate(back) if i % 2 else "".join(s)))
+    rows = spark.createDataFrame(reads, "read_id long, seq string")
+    whole = spark.createDataFrame([(p, text[p : p + n]) for p in range(len(text) - n + 1)], "pos long, txt string")
+    chunks = spark.createDataFrame([(c, c * chunk, text[c * chunk : c * chunk + chunk + n - 1]) for c in range(-(-len(text) // chunk))], "chunk long, start long, seq string")
+    want = sorted(map(tuple, M.sampled(rows, whole, n, 16, 38).collect()))
+    asked, keep = [], M.sampled_in_chunks
+    monkeypatch.setattr(A, "sampled_in_chunks", lambda r, *a, **b: (asked.append(r.count()), keep(r, *a, **b))[1])
+    assert sorted(map(tuple, A.mapped_in_parts(rows, chunks, n, 16, 38, None).collect())) == want
+    exact = sum(w[3] == 0 for w in want)
+    assert 40 < exact < len(want) and asked[1:] == [120 - exact]  # the text is looked through again for the others only
+    assert sorted(map(tuple, A.mapped_in_parts(rows, chunks, n, 16, 38, 10_000).collect())) == want
+    # pairs whose hashes are equal are compared as text: all hashes alike give the same rows
+    monkeypatch.setattr(M, "VALUES", M.VALUES * M.np.uint64(0))
+    few = spark.createDataFrame(reads[:30], "read_id long, seq string")
+    short = spark.createDataFrame([(0, 0, text[:400])], "chunk long, start long, seq string")
+    want = sorted(map(tuple, M.sampled(few, whole.where("pos <= 352"), n, 16, 38).collect()))
+    assert sorted(map(tuple, keep(few, short, n, 16, 38).collect())) == want and want
+
+
 def test_exact_match_shuffles_no_position_as_text(spark, monkeypatch):
     rng = random.Random(22)
     n, chunk = 40, 64
